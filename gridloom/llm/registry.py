@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import documents, held_out
 
 
+def op4_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.repair_store import read_store, write_store
+
+    return read_store(write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm import langid
 
