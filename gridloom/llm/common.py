@@ -89,5 +89,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def text_hash():
+    """With doc_id, what tells rows from one another; rows alike in both are the same document twice."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stays`` (doc_id, text_hash) names, each once, with the columns of ``docs``."""
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    named = stays.select(number("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumns({"__id": number("doc_id"), "__hash": text_hash()})
+    return rows.join(named, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

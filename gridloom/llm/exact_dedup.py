@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, map_texts, scratch
+from gridloom.llm.common import column, keep_rows, map_texts, scratch, text_hash
 
 SPACES = b" \t\n\x0b\x0c\r"
 PRIMES = (2147483647, 2147483629)
@@ -66,7 +66,7 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(None, SPACES)
 
 
-DIGEST = "doc_id long, n_chars long, n_bytes long, h1 long, h2 long, sha string"
+DIGEST = "doc_id long, text_hash long, n_chars long, n_bytes long, h1 long, h2 long, sha string"
 
 
 def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -77,39 +77,40 @@ def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows.append((doc, len(text or ""), len(data), h1, h2, hashlib.sha256(data).hexdigest()))
     cols = list(zip(*rows)) if rows else [[]] * 6
     types = [pa.int64()] * 5 + [pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_chars", "n_bytes", "h1", "h2", "sha"])
+    made = [pa.array(c, t) for c, t in zip(cols, types)]
+    return pa.RecordBatch.from_arrays([made[0], column(batch, "text_hash"), *made[1:]], ["doc_id", "text_hash", "n_chars", "n_bytes", "h1", "h2", "sha"])
 
 
 def _huge_digests(docs: DataFrame, huge_chars: int) -> DataFrame:
     """The same digest for huge documents: SHA-256 streams over the row, fingerprints come from chunks."""
-    pieces = "uid long, doc_id long, n_chars long, sha string, no int, data binary"
+    pieces = "uid long, doc_id long, text_hash long, n_chars long, sha string, no int, data binary"
 
     def cut(batches):
         for batch in batches:
-            for uid, doc, text in zip(*(column(batch, c).to_pylist() for c in ("uid", "doc_id", "text"))):
+            for uid, doc, h, text in zip(*(column(batch, c).to_pylist() for c in ("uid", "doc_id", "text_hash", "text"))):
                 sha = hashlib.sha256()
                 parts = [text[i : i + huge_chars] for i in range(0, len(text), huge_chars)]
                 for part in parts:
                     sha.update(normal(part))
                 for no, part in enumerate(parts):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([uid], pa.int64()), pa.array([doc], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([sha.hexdigest()]), pa.array([no], pa.int32()), pa.array([normal(part)], pa.binary())],
-                        ["uid", "doc_id", "n_chars", "sha", "no", "data"],
+                        [pa.array([uid], pa.int64()), pa.array([doc], pa.int64()), pa.array([h], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([sha.hexdigest()]), pa.array([no], pa.int32()), pa.array([normal(part)], pa.binary())],
+                        ["uid", "doc_id", "text_hash", "n_chars", "sha", "no", "data"],
                     )
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = [fingerprint(x) + (len(x),) for x in column(batch, "data").to_pylist()]
-        keep = [column(batch, c) for c in ("uid", "doc_id", "n_chars", "sha", "no")]
-        return pa.RecordBatch.from_arrays(keep + [pa.array([p[i] for p in prints], pa.int64()) for i in range(5)], ["uid", "doc_id", "n_chars", "sha", "no", "h1", "s1", "h2", "s2", "n_bytes"])
+        keep = [column(batch, c) for c in ("uid", "doc_id", "text_hash", "n_chars", "sha", "no")]
+        return pa.RecordBatch.from_arrays(keep + [pa.array([p[i] for p in prints], pa.int64()) for i in range(5)], ["uid", "doc_id", "text_hash", "n_chars", "sha", "no", "h1", "s1", "h2", "s2", "n_bytes"])
 
     chunks = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(cut, pieces).repartition("uid", "no")
-    chunks = map_texts(chunks, hashed, "uid long, doc_id long, n_chars long, sha string, no int, h1 long, s1 long, h2 long, s2 long, n_bytes long", "data")
+    chunks = map_texts(chunks, hashed, "uid long, doc_id long, text_hash long, n_chars long, sha string, no int, h1 long, s1 long, h2 long, s2 long, n_bytes long", "data")
 
     def fold(h: str, s: str, p: int) -> Column:
         ordered = F.array_sort(F.collect_list(F.struct("no", h, s)))
         return F.aggregate(ordered, F.lit(0).cast("long"), lambda acc, x: (acc * x[s] + x[h]) % F.lit(p))
 
-    return chunks.groupBy("uid", "doc_id", "n_chars", "sha").agg(F.sum("n_bytes").alias("n_bytes"), fold("h1", "s1", PRIMES[0]).alias("h1"), fold("h2", "s2", PRIMES[1]).alias("h2")).select("doc_id", "n_chars", "n_bytes", "h1", "h2", "sha")
+    return chunks.groupBy("uid", "doc_id", "text_hash", "n_chars", "sha").agg(F.sum("n_bytes").alias("n_bytes"), fold("h1", "s1", PRIMES[0]).alias("h1"), fold("h2", "s2", PRIMES[1]).alias("h2")).select("doc_id", "text_hash", "n_chars", "n_bytes", "h1", "h2", "sha")
 
 
 def _bucket() -> Column:
@@ -151,11 +152,11 @@ def _collisions(docs: DataFrame, digests: DataFrame, chunk_chars: int) -> DataFr
 
 
 def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars, text_hash.
 
     Of equal texts the row with the most code points stays, then the one with the smallest doc_id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("text_hash"))
     small = map_texts(docs.filter(F.length("text") <= huge_chars), _digests, DIGEST)
     huge = _huge_digests(docs.filter(F.length("text") > huge_chars), huge_chars)
     digests = scratch(small.unionByName(huge).withColumn("uid", F.monotonically_increasing_id()), "digests")
@@ -165,5 +166,10 @@ def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
     groups = rows.groupBy(*key, "variant").agg(F.min(order).alias("stays"), F.count("*").alias("group_size"))
     return rows.join(groups, [*key, "variant"]).select(
-        "doc_id", F.col("stays.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("stays.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars"
+        "doc_id", F.col("stays.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("stays.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars", "text_hash"
     )
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row that stays of each group of equal texts."""
+    return keep_rows(docs, exact_dedup(docs).filter("kept").select("doc_id", "text_hash"))

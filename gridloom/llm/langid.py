@@ -158,9 +158,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     return train(table["text"].to_pylist(), table["lang"].to_pylist())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and lang_rejected, in one pass without a shuffle."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_rejected")]
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score and lang_rejected, in one pass without a shuffle.
+
+    Columns of these names give way; a ``prefix`` keeps them.
+    """
+    added = [prefix + c for c in ("lang_pred", "score", "lang_rejected")]
+    keep = [c for c in docs.columns if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the corpus
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -168,9 +172,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         found = [m.predict(t) for t in column(batch, "text").to_pylist()]
         names, scores = [f[0] for f in found], [f[1] for f in found]
         refused = [n == "und" or s < m.reject for n, s in found]
-        return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], [*keep, "lang_pred", "score", "lang_rejected"])
+        return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], [*keep, *added])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()))])
     return map_texts(docs.select(*keep), kernel, schema)

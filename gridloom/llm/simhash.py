@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, map_texts, scratch
+from gridloom.llm.common import column, keep_rows, map_texts, scratch, text_hash
 from gridloom.llm.components import components
 
 #: Fingerprints that the tree is fitted to.
@@ -61,13 +61,13 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's bits as a signed long."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in column(batch, "text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")), kernel, "doc_id long, text_hash long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -203,14 +203,22 @@ def links(nodes_df: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (smallest doc_id reachable over links)."""
+    """One row per document: doc_id, text_hash, fp (long), root (the component's own number) and component_id (its
+    smallest doc_id)."""
     prints = scratch(fingerprints(docs, shingle), "fingerprints")
     nodes = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(nodes, radius))
     classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = classes.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (of rows that share it, one)."""
+    found = near_duplicates(docs, shingle, radius)
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
+    return keep_rows(docs, stays)
 
 
 def fp_hex(fp: str = "fp"):

@@ -264,9 +264,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     return train([np.frombuffer(b, np.int32) for b in table["words"].to_pylist()], np.array(table["toxic"].to_pylist(), np.float32), table["lang"].to_pylist())
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the score under ``name`` and toxic_rejected, by the threshold of the row's language."""
-    keep = [c for c in docs.columns if c not in (name, "toxic_rejected")]
+def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with score and toxic_rejected, by the threshold of the row's language.
+
+    Columns of these names give way; a ``prefix`` keeps them.
+    """
+    added = [prefix + c for c in ("score", "toxic_rejected")]
+    keep = [c for c in docs.columns if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -277,7 +281,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             s = np.append(s, m.scores(texts[at : at + 32]))
         langs = column(batch, "lang").to_pylist() if "lang" in keep else [None] * len(texts)
         refused = s >= np.array([m.thresholds.get(x or "", m.threshold) for x in langs])
-        return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(s, pa.float64()), pa.array(refused, pa.bool_())], [*keep, name, "toxic_rejected"])
+        return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(s, pa.float64()), pa.array(refused, pa.bool_())], [*keep, *added])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType()), T.StructField("toxic_rejected", T.BooleanType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.BooleanType())])
     return map_texts(docs.select(*keep), kernel, schema)
