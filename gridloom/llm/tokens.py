@@ -8,13 +8,14 @@ library where the gaps aren't single spaces.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Words kept by a worker. Beyond it the rarer half of the words are encoded anew each time.
 CACHE_WORDS = 400_000
 #: Words remembered to have come once.
-ONCE_WORDS = 150_000
+ONCE_WORDS = 300_000
 #: Longer words aren't kept.
 CACHE_LENGTH = 64
 
@@ -83,8 +84,7 @@ class Encoder:
         """Each whole text's ids, as unsigned 32-bit integers."""
         held = self.cache
         parts: list[list[bytes | None]] = []
-        new: dict[str, bytes] = {}
-        gaps: list[tuple[int, list[str]]] = []
+        missing: list[tuple[list[bytes | None], list[int], list[str]]] = []
         odd = []
         for no, text in enumerate(texts):
             if not _plain(text):
@@ -99,12 +99,13 @@ class Encoder:
             ids = list(map(held.get, words))
             parts.append(ids)
             if None in ids:
-                gaps.append((no, words))
-                new.update(dict.fromkeys(w for w, x in zip(words, ids) if x is None))
-        keys = list(new)
-        new.update(zip(keys, self.units(keys)))
-        for no, words in gaps:
-            parts[no] = [new[w] if x is None else x for w, x in zip(words, parts[no])]
+                at = [i for i, x in enumerate(ids) if x is None]
+                missing.append((ids, at, [words[i] for i in at]))
+        keys = list(dict.fromkeys(chain.from_iterable(w for _, _, w in missing)))
+        new = dict(zip(keys, self.units(keys)))
+        for ids, at, words in missing:
+            for i, w in zip(at, words):
+                ids[i] = new[w]
         for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
             parts[no] = [ids]
         for w in new:
