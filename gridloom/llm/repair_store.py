@@ -34,7 +34,7 @@ from gridloom.llm.tokens import encoder
 
 MAGIC = b"GLRP"
 #: Ids after which a shard ends (with its document), pair replacement's rounds, uses that pay for a rule.
-SHARD_IDS, ROUNDS, MIN_USES = 1 << 19, 5, 8
+SHARD_IDS, ROUNDS, MIN_USES = 1 << 19, 4, 8
 #: Rules that a round may add: the most frequent pairs come first, the next round sees the rest again.
 ROUND_RULES = 1 << 13
 INDEX = 1024

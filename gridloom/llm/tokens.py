@@ -12,14 +12,16 @@ from itertools import chain
 
 import numpy as np
 
-#: Words kept by a worker. Beyond it the rarer half of the words are encoded anew each time.
-CACHE_WORDS = 400_000
-#: Words remembered to have come once.
+#: Words kept by a worker, some 200 bytes each. Others are encoded anew each time.
+CACHE_WORDS = 1_000_000
+#: Words remembered to have come once; the second half of the cache is for words that come again.
 ONCE_WORDS = 300_000
 #: Longer words aren't kept.
 CACHE_LENGTH = 64
 
 _letters = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Letters whose lower case depends on who lowers it.
+_odd_case = re.compile("[\u03a3\u0130]")
 #: White space other than blank and line feed, as any of the libraries involved defines it.
 _other_space = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -49,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
+        self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
         self.cache: dict[str, bytes] = {}
         self.once: set[str] = set()  # words get into the cache when they come again
         pieces = self.tokenizer.get_vocab()
@@ -95,7 +98,7 @@ class Encoder:
                 words = text.replace("\n", " \n").split(" ")
                 words[0] = "\t" + words[0]
             else:
-                words = text.split()
+                words = (text.lower() if self.lower and not _odd_case.search(text) else text).split()
             ids = list(map(held.get, words))
             parts.append(ids)
             if None in ids:
@@ -111,9 +114,10 @@ class Encoder:
         for w in new:
             if len(held) >= CACHE_WORDS:
                 break
-            if w in self.once and len(w) <= CACHE_LENGTH:
+            if (len(held) < CACHE_WORDS // 2 or w in self.once) and len(w) <= CACHE_LENGTH:
                 held[w] = new[w]
         if len(self.once) > ONCE_WORDS:
             self.once.clear()
-        self.once.update(new)
+        if len(held) >= CACHE_WORDS // 2:
+            self.once.update(new)
         return [np.frombuffer(b"".join(p), np.uint32) for p in parts]
