@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import documents, held_out
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.html import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.topk import top_k
 
