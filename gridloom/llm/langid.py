@@ -104,17 +104,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     """SGD over the rows in order of a seeded shuffle; every fifth row only calibrates."""
-    rows = [(c, y) for c, y in ((counts(t or ""), y) for t, y in zip(texts, langs)) if c is not None]
-    names = sorted({y for _, y in rows})
+    sparse, known = [], []
+    for text, lang in zip(texts, langs):
+        c = counts(text or "")
+        if c is not None:  # only what occurs is kept: a row of all buckets would cost the driver 128 KB
+            at = np.flatnonzero(c)
+            sparse.append((at.astype(np.int32), (c[at] / c.sum()).astype(np.float32)))
+            known.append(lang)
+    names = sorted(set(known))
     if not names:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    at = {y: i for i, y in enumerate(names)}
-    sparse = [(np.flatnonzero(c).astype(np.int32), (c[c > 0] / c.sum()).astype(np.float32)) for c, _ in rows]
-    y = np.array([at[v] for _, v in rows])
+    y = np.array([names.index(v) for v in known])
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    check = order[::5] if len(rows) >= 50 else order
-    fit = np.setdiff1d(order, check, assume_unique=True) if len(rows) >= 50 else order
+    order = rng.permutation(len(y))
+    check = order[::5] if len(y) >= 50 else order
+    fit = np.setdiff1d(order, check, assume_unique=True) if len(y) >= 50 else order
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32)
     b = np.zeros(len(names), np.float32)
