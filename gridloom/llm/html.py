@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, map_texts
+from gridloom.llm.common import column, map_texts, scratch
 
 THRESHOLD, DECAY = 0.25, 0.9
 
@@ -299,7 +299,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    judged = rows.join(site_noise(rows), "host", "left").select("page_id", "url", "html", "noise")
+    noise = scratch(site_noise(rows), "noise")  # a small table is broadcast by its size, a large one is joined by sorting
+    judged = rows.join(noise, "host", "left").select("page_id", "url", "html", "noise")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
