@@ -78,6 +78,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths; source / a hundred of doc_ids / doc_id stands in for a tree of files."""
+    from gridloom.llm.licenses import scan
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return scan(documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import fp_hex, near_duplicates
 
