@@ -39,10 +39,10 @@ QUALIFY rank <= 5
 def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from gridloom.llm.sentencepiece_scan import encode, summary
+    from gridloom.llm.sentencepiece_scan import encoded_parts, summary
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return summary(encode(documents(spark, sf_dir), path), path)
+    return summary(encoded_parts(documents(spark, sf_dir), path), path)
 
 
 def op4_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import column, map_texts, scratch
 
 SPACE = "▁"
-CHUNK_CHARS = 1 << 14
+CHUNK_CHARS = 1 << 16
 #: Chunks whose matrices one task folds.
 FOLD = 256
 #: Penalty of a character without a piece, below the least score.
@@ -256,16 +256,21 @@ class Model:
             return np.array(self.emit(text, self.path(text, np.zeros(1))[1], len(text))[0], np.int32)
         return np.frombuffer(self.ids_of(self.words(text)), np.int32)
 
+    def frame(self, text: str, core: int) -> tuple[int, int] | None:
+        """The first gap that all entry states lie before and the last gap of a chunk; None if there is none."""
+        at = self.gaps(text, core)
+        if at is None or at[1] < self.longest:
+            return None
+        first = at[0] if at[0] >= self.longest else _gap(text, self.longest, core)
+        return None if first is None or first > at[1] else (first, at[1])
+
     def matrix(self, text: str, core: int) -> np.ndarray:
         """Transfer matrix of a chunk: text[:core], with what pieces may reach into behind it."""
         n = self.longest
-        out = np.full((n, n), NEG)
         stop = min(len(text), core + n - 1)
-        at = self.gaps(text, core)
-        if at is None or at[0] < n:  # states beyond the first gap don't collapse there
-            at = None if at is None or at[1] < n else (_gap(text, n, core) or -1, at[1])
-            at = None if at is None or at[0] < 0 or at[0] > at[1] else at
+        at = self.frame(text, core)
         if at is None:
+            out = np.full((n, n), NEG)
             for i in range(n):
                 if i < core:
                     best, _ = self.path(text, np.zeros(1), i, core, stop)
@@ -274,28 +279,39 @@ class Model:
                     out[i, i - core] = 0  # a piece that spans the whole chunk
             return out
         first, last = at
-        into = np.full(n, NEG)
-        for i in range(n):
-            into[i] = self.path(text[:first], np.zeros(1), i)[0][-1]
+        into = np.array([self.path(text[:first], np.zeros(1), i)[0][-1] for i in range(n)])
         middle = self.score(np.frombuffer(self.ids_of(self.words(text[first:last])), np.int32))
         tail, _ = self.path(text, np.zeros(1), last, core, stop)
         return _grown(into[:, None] + middle + np.array(tail[core:])[None, :], n)
 
-    def exits(self, text: str, core: int, entry: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Entry state of each exit state's best path, -1 where there is none, and the back pointers."""
+    def exits(self, text: str, core: int, entry: np.ndarray) -> np.ndarray:
+        """For each exit state the entry state of its best path, -1 where there is none."""
         stop = min(len(text), core + self.longest - 1)
-        best, back = self.path(text, entry, 0, core, stop)
         out = np.full(self.longest, -1)
-        for j in range(stop - core + 1):
-            if best[core + j] > NEG:
-                out[j] = self.emit_entry(back, core + j)
-        return out, back
-
-    @staticmethod
-    def emit_entry(back: list[int], end: int) -> int:
-        while back[end] >= 0:
-            end = back[end]
-        return end
+        at = self.frame(text, core)
+        if at is None:
+            best, back = self.path(text, entry, 0, core, stop)
+            for j in range(stop - core + 1):
+                if best[core + j] > NEG:
+                    out[j] = _entry(back, core + j)
+            return out
+        first, last = at  # all paths meet at the gaps
+        tail, _ = self.path(text, np.zeros(1), last, core, stop)
+        state = _entry(self.path(text[:first], entry)[1], first)
+        out[: stop - core + 1][np.array(tail[core:]) > NEG] = state
+        return out
+
+    def backtrace(self, text: str, core: int, entry: np.ndarray, state: int) -> bytes:
+        """Ids of the pieces that start in the chunk on the best path to an exit state."""
+        stop = min(len(text), core + self.longest - 1)
+        as_bytes = lambda ids: np.array(ids, np.int32).tobytes()
+        at = self.frame(text, core)
+        if at is None:
+            return as_bytes(self.emit(text, self.path(text, entry, 0, core, stop)[1], core + state)[0])
+        first, last = at
+        head = self.emit(text, self.path(text[:first], entry)[1], first)[0]
+        tail = self.emit(text, self.path(text, np.zeros(1), last, core, stop)[1], core + state, last)[0]
+        return as_bytes(head) + self.ids_of(self.words(text[first:last])) + as_bytes(tail)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -303,6 +319,12 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
+def _entry(back: list[int], end: int) -> int:
+    while back[end] >= 0:
+        end = back[end]
+    return end
+
+
 def _gap(text: str, start: int, stop: int) -> int | None:
     at = text.find(SPACE, start, stop)
     while 0 <= at and text[at - 1] == SPACE:
@@ -397,7 +419,7 @@ def _giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     def exit_maps(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model(path)
         rows = zip(*(column(batch, c).to_pylist() for c in ("chunk", "core", "entry")))
-        maps = [m.exits(t, c, np.frombuffer(e))[0].astype(np.int32).tobytes() for t, c, e in rows]
+        maps = [m.exits(t, c, np.frombuffer(e)).astype(np.int32).tobytes() for t, c, e in rows]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("uid", "no", "entry")), pa.array(maps, raw)], ["uid", "no", "entry", "exits"])
 
     ready = table.select("uid", "no", "core", "chunk").join(chunk_entry, ["uid", "no"])
@@ -415,21 +437,15 @@ def _giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
 
     def backtrace(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model(path)
-        ids = []
-        for t, c, e, s in zip(*(column(batch, c).to_pylist() for c in ("chunk", "core", "entry", "state"))):
-            _, back = m.exits(t, c, np.frombuffer(e))
-            ids.append(np.array(m.emit(t, back, c + s)[0], np.int32).tobytes())
+        ids = [m.backtrace(t, c, np.frombuffer(e), s) for t, c, e, s in zip(*(column(batch, c).to_pylist() for c in ("chunk", "core", "entry", "state")))]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("uid", "doc_id", "no")), pa.array(ids, raw)], ["uid", "doc_id", "no", "ids"])
 
     last = table.select("uid", "doc_id", "no", "core", "chunk").join(maps.select("uid", "no", "entry"), ["uid", "no"]).join(states, ["uid", "no"])
     return map_texts(last, backtrace, ROW, "chunk")
 
 
-def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(uid, doc_id, no, ids): a row for each chunk of each document, its ids as little-endian 32-bit integers.
-
-    ``uid`` numbers the rows of ``docs``; documents up to ``chunk_chars`` are one chunk.
-    """
+def encoded_parts(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """``encode`` of the documents up to ``chunk_chars``, a row each, and of the others, a row a chunk."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     giant = F.length("text") > chunk_chars
 
@@ -438,8 +454,16 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFr
         ids = [m.encode(t).astype("<i4").tobytes() for t in column(batch, "text").to_pylist()]
         return pa.RecordBatch.from_arrays([column(batch, "uid"), column(batch, "doc_id"), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["uid", "doc_id", "no", "ids"])
 
-    small = map_texts(rows.filter(~giant), whole, ROW)
-    return small.unionByName(_giants(rows.filter(giant), path, chunk_chars))
+    return map_texts(rows.filter(~giant), whole, ROW), _giants(rows.filter(giant), path, chunk_chars)
+
+
+def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(uid, doc_id, no, ids): a row for each chunk of each document, its ids as little-endian 32-bit integers.
+
+    ``uid`` numbers the rows of ``docs``; documents up to ``chunk_chars`` are one chunk.
+    """
+    small, giant = encoded_parts(docs, path, chunk_chars)
+    return small.unionByName(giant)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -461,20 +485,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return joined.mapInArrow(run, "uid long, doc_id long, text string")
 
 
-def summary(encoded: DataFrame, path: str) -> DataFrame:
+def summary(parts: tuple[DataFrame, DataFrame], path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of all ids as little-endian 32-bit integers), n_chars and text_crc32 (UTF-8) of
-    the text that the ids decode to; one row per document. Chunks of one document meet in one task as ids only."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])
-    joined = encoded.groupBy("uid", "doc_id").agg(parts.alias("parts"))
+    the text that the ids decode to; one row per document. Only giants' chunks are put together, as ids."""
+    small, giant = parts
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])
+    joined = giant.groupBy("uid", "doc_id").agg(cells.alias("parts")).select("doc_id", "parts")
 
     def run(batches):
         m = model(path)
         for batch in batches:
             rows = []
-            for doc, cells in zip(column(batch, "doc_id").to_pylist(), column(batch, "parts").to_pylist()):
-                data = b"".join(cells)
+            for doc, held in zip(column(batch, "doc_id").to_pylist(), column(batch, "parts").to_pylist()):
+                data = b"".join(held)
                 text = m.decode(np.frombuffer(data, np.int32))
                 rows.append((doc, len(data) // 4, zlib.crc32(data), len(text), zlib.crc32(text.encode("utf-8", "surrogatepass"))))
             yield _pack(rows, ["doc_id", "n_tokens", "ids_crc32", "n_chars", "text_crc32"], [pa.int64()] * 5)
 
-    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long")
+    schema = "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long"
+    return small.select("doc_id", F.array("ids").alias("parts")).mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
