@@ -13,9 +13,9 @@ from itertools import chain
 import numpy as np
 
 #: Words kept by a worker, some 200 bytes each. Others are encoded anew each time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Words remembered to have come once; the second half of the cache is for words that come again.
-ONCE_WORDS = 300_000
+ONCE_WORDS = 200_000
 #: Longer words aren't kept.
 CACHE_LENGTH = 64
 
