@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a kernel at a time; bounds the Python objects alive per worker.
 SLICE_ROWS = 256
+BATCH_ROWS = 1000
 #: ... and the UTF-8 bytes handed over at a time, so that very long texts come in slices of one row.
 SLICE_BYTES = 8 << 20
 
@@ -66,6 +67,13 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python in batches of BATCH_ROWS rows: Spark's default of 10,000 whole texts costs hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` with ``kernel`` applied to memory-bounded slices of each batch."""
 
@@ -74,6 +82,7 @@ def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
             for part in slices(batch, text):
                 yield kernel(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -1,8 +1,8 @@
 """Token-id output as Re-Pair grammars: shards of ids with rules, expansion lengths and random-access decoding.
 
 A shard holds whole documents in ascending doc_id order. Its ids are compressed by rounds of pair replacement: all
-pairs that occur at least MIN_USES times become nonterminals and are replaced from left to right; the next round
-pairs the shorter sequence, nonterminals included, until no pair is frequent or ROUNDS is reached. A shard's bytes
+pairs that occur at least MIN_COUNT times become nonterminals and are replaced from left to right; the next round
+pairs the shorter sequence, nonterminals included, until no pair is frequent, a round gains little or ROUNDS is reached. A shard's bytes
 (little-endian) are
 
     header   magic "GLRP", then 6 unsigned longs: documents, ids, terminals, rules, symbols, crc32 of all ids
@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, scratch, slices
+from gridloom.llm.common import column, scratch, slices, small_batches
 from gridloom.llm.tokens import encoder
 
 MAGIC = b"GLRP"
-#: Ids after which a shard ends (with its document), pair replacement's rounds, uses that pay for a rule.
-SHARD_IDS, ROUNDS, MIN_USES = 1 << 19, 4, 8
+#: Ids after which a shard ends (with its document).
+SHARD_IDS = 1 << 19
+#: Pair replacement ends after so many rounds, or when a round removes a smaller share of the symbols. A pair must
+#: occur MIN_COUNT times: 8 uses pay for a rule, and overlaps cost some.
+ROUNDS, LEAST_GAIN, MIN_COUNT = 8, 0.02, 12
 #: Rules that a round may add: the most frequent pairs come first, the next round sees the rest again.
 ROUND_RULES = 1 << 13
 INDEX = 1024
@@ -63,29 +66,24 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     rules: list[np.ndarray] = []
     top = terminals
     for _ in range(ROUNDS):
-        if len(seq) < 2 * MIN_USES:
+        if len(seq) < 2 * MIN_COUNT:
             break
         slot, pair, uses = pair_slots(seq[:-1] << 32 | seq[1:])
-        chosen = np.flatnonzero(uses >= MIN_USES)
+        chosen = np.flatnonzero(uses >= MIN_COUNT)
         chosen = chosen[np.argsort(-uses[chosen], kind="stable")[:ROUND_RULES]]
-        rule_of = np.full((1 << _HASH) + 1, -1, np.int64)  # the last is of pairs without a slot
-        where = np.zeros(0, np.int64)
-        for last in (False, True):  # overlaps cost uses: pairs left with too few drop out once
-            rule_of[:] = -1
-            rule_of[chosen] = np.arange(len(chosen))
-            where = apart(np.flatnonzero(rule_of[slot] >= 0))
-            used = np.bincount(rule_of[slot[where]], minlength=len(chosen))
-            if last or not len(chosen) or used.min() >= MIN_USES:
-                break
-            chosen = chosen[used >= MIN_USES]
         if not len(chosen):
             break
+        rule_of = np.full((1 << _HASH) + 1, -1, np.int64)  # the last is of pairs without a slot
+        rule_of[chosen] = np.arange(len(chosen))
+        where = apart(np.flatnonzero(rule_of[slot] >= 0))
         seq[where] = top + rule_of[slot[where]]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
         rules.append(np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], 1))
         top += len(chosen)
+        if len(where) < LEAST_GAIN * len(seq):
+            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -211,6 +209,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
         if names:
             yield shard()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     return scratch(dealt.mapInArrow(shards, "part int, block int, n_docs long, n_ids long, payload binary"), "shards")

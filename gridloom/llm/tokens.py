@@ -16,6 +16,8 @@ import numpy as np
 CACHE_WORDS = 400_000
 #: Words remembered to have come once; the second half of the cache is for words that come again.
 ONCE_WORDS = 200_000
+#: Marks that are told from the word before them when the two together are new.
+MARKS = ".,"
 #: Longer words aren't kept.
 CACHE_LENGTH = 64
 
@@ -52,6 +54,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
+        self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
         self.cache: dict[str, bytes] = {}
         self.once: set[str] = set()  # words get into the cache when they come again
         pieces = self.tokenizer.get_vocab()
@@ -102,22 +105,32 @@ class Encoder:
             ids = list(map(held.get, words))
             parts.append(ids)
             if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
+                at, find, i = [], ids.index, -1
+                for _ in range(ids.count(None)):
+                    i = find(None, i + 1)
+                    at.append(i)
                 missing.append((ids, at, [words[i] for i in at]))
-        keys = list(dict.fromkeys(chain.from_iterable(w for _, _, w in missing)))
-        new = dict(zip(keys, self.units(keys)))
+        asked = dict.fromkeys(chain.from_iterable(w for _, _, w in missing))
+        stems = {w: w[:-1] if w[-1] in MARKS and len(w) > 1 and w[-2].isalnum() else w for w in asked}
+        need = [w for w in dict.fromkeys(stems.values()) if w not in held]
+        fresh = dict(zip(need, self.units(need)))
+        new = {}
+        for w, stem in stems.items():  # a mark after a letter or digit is a pre-token by itself
+            ids = fresh[stem] if stem in fresh else held[stem]
+            new[w] = ids if w is stem else ids + self.marks[w[-1]]
         for ids, at, words in missing:
             for i, w in zip(at, words):
                 ids[i] = new[w]
         for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
             parts[no] = [ids]
-        for w in new:
+        for w in {**fresh, **new}:
             if len(held) >= CACHE_WORDS:
                 break
             if (len(held) < CACHE_WORDS // 2 or w in self.once) and len(w) <= CACHE_LENGTH:
-                held[w] = new[w]
+                held[w] = fresh[w] if w in fresh else new[w]
         if len(self.once) > ONCE_WORDS:
             self.once.clear()
         if len(held) >= CACHE_WORDS // 2:
             self.once.update(new)
+            self.once.update(fresh)
         return [np.frombuffer(b"".join(p), np.uint32) for p in parts]
