@@ -37,10 +37,12 @@ MAGIC = b"GLRP"
 SHARD_IDS = 1 << 19
 #: Pair replacement ends after so many rounds, or when a round removes a smaller share of the symbols. A pair must
 #: occur MIN_COUNT times: 8 uses pay for a rule, and overlaps cost some.
-ROUNDS, LEAST_GAIN, MIN_COUNT = 8, 0.02, 12
+ROUNDS, LEAST_GAIN, MIN_COUNT = 8, 0.05, 12
 #: Rules that a round may add: the most frequent pairs come first, the next round sees the rest again.
 ROUND_RULES = 1 << 13
 INDEX = 1024
+#: Words in a worker's token cache: some 200 MB.
+CACHE_WORDS = 900_000
 _HASH = 18
 
 
@@ -55,9 +57,11 @@ def pair_slots(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def apart(where: np.ndarray) -> np.ndarray:
     """Of overlapping pairs in a row, every second one."""
-    begins = np.concatenate(([True], np.diff(where) != 1))
-    order = np.arange(len(where))
-    return where[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0]
+    order = np.arange(len(where), dtype=np.int32)
+    begins = np.ones(len(where), bool)
+    np.not_equal(where[1:], where[:-1] + 1, out=begins[1:])
+    order -= np.maximum.accumulate(order * begins)
+    return where[order & 1 == 0]
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +193,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     def shards(batches):
         from pyspark import TaskContext
 
-        e = encoder(vocabulary, spaced=False)
+        e = encoder(vocabulary, False, CACHE_WORDS)
         part, block, held, names, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard():

@@ -36,15 +36,15 @@ def _plain(text: str) -> bool:
 _held: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str, spaced: bool) -> "Encoder":
+def encoder(path: str, spaced: bool, cache_words: int = CACHE_WORDS) -> "Encoder":
     """This process's encoder of a vocabulary file. ``spaced``: a word's ids depend on the space before it."""
     if (path, spaced) not in _held:
-        _held[path, spaced] = Encoder(path, spaced)
+        _held[path, spaced] = Encoder(path, spaced, cache_words)
     return _held[path, spaced]
 
 
 class Encoder:
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, cache_words: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,7 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
+        self.spaced, self.room = spaced, cache_words
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
         self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
         self.cache: dict[str, bytes] = {}
@@ -93,7 +93,7 @@ class Encoder:
         missing: list[tuple[list[bytes | None], list[int], list[str]]] = []
         odd = []
         for no, text in enumerate(texts):
-            if not _plain(text):
+            if not _plain(text) if self.spaced else _other_space.search(text):
                 odd.append(no)
                 parts.append([])
                 continue
@@ -123,14 +123,16 @@ class Encoder:
                 ids[i] = new[w]
         for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
             parts[no] = [ids]
-        for w in {**fresh, **new}:
-            if len(held) >= CACHE_WORDS:
-                break
-            if (len(held) < CACHE_WORDS // 2 or w in self.once) and len(w) <= CACHE_LENGTH:
-                held[w] = fresh[w] if w in fresh else new[w]
-        if len(self.once) > ONCE_WORDS:
-            self.once.clear()
-        if len(held) >= CACHE_WORDS // 2:
-            self.once.update(new)
-            self.once.update(fresh)
+        for found in (fresh, new):
+            found = {w: x for w, x in found.items() if len(w) <= CACHE_LENGTH}
+            free = self.room - len(held)
+            if free > self.room // 2:
+                held.update(found)
+            else:
+                once = self.once
+                if free > 0:
+                    held.update({w: found[w] for w in found.keys() & once})
+                if len(once) > ONCE_WORDS:
+                    once.clear()
+                once.update(found)
         return [np.frombuffer(b"".join(p), np.uint32) for p in parts]
