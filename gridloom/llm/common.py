@@ -53,6 +53,12 @@ def drop_scratch(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables, once no result that reads them is needed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridloom")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that no slice has over SLICE_ROWS rows or (but for one row) SLICE_BYTES of text."""
     col = batch.column(batch.schema.get_field_index(text))

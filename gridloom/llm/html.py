@@ -73,24 +73,24 @@ class Node:
     __slots__ = ("tag", "parent", "key", "prior", "kids", "text", "inside")
 
 
-_kinds: dict[tuple[str, str], tuple[str, float | None, bool]] = {}
+_kinds: dict[tuple[str, str, str], tuple[str, float | None, bool]] = {}
 
 
-def _presentation(tag: str, attrs: str) -> tuple[str, float | None, bool]:
-    """(name, importance it claims or None, whether it claims to be the article)."""
-    held = _kinds.get((tag, attrs))
+def _presentation(tag: str, attrs: str, above: str = "") -> tuple[str, float | None, bool]:
+    """(name, importance it claims or None, whether it claims to be the article); an article's own header is text."""
+    held = _kinds.get((tag, attrs, above))
     if held:
         return held
     given = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if "=" in attrs else {}
     classes, role = _DIGITS.sub("", f"{given.get('class', '')} {given.get('id', '')}"), given.get("role", "")
     article = tag in TEXT_TAGS or role in TEXT_ROLES or "articlebody" in given.get("itemprop", "")
-    names = _TOKEN.findall(classes)
+    names = [n for n in _TOKEN.findall(classes) if n != "header" or "article" not in above]
     hidden = bool(re.search(r"(^|\s)hidden(\s|=|$)", attrs)) or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
     named = bool(NOT_TEXT_NAMES.intersection(names)) or any(n.startswith(p) or n.endswith(p) for n in names for p in NOT_TEXT_PARTS)
     prior = 0.0 if tag in NOT_TEXT or role in NOT_TEXT_ROLES or named or hidden else 1.0 if article else None
     out = (f"{tag}.{classes.strip()}", prior, article and prior != 0.0)
     if len(_kinds) < 100_000:
-        _kinds[tag, attrs] = out
+        _kinds[tag, attrs, above] = out
     return out
 
 
@@ -154,7 +154,7 @@ def parse(html: str) -> list[Node]:
                         break
         up = stack[-1]
         node = Node()
-        name, prior, article = _presentation(tag, attrs)
+        name, prior, article = _presentation(tag, attrs, "article" if up.inside else "")
         node.tag, node.parent, node.kids, node.text = tag, up, [], []
         node.key, node.inside = _hash(up.key, name), article or up.inside
         if up.prior == 0.0:

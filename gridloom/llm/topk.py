@@ -8,7 +8,7 @@ ids. A tile only reports bins down to its own k-th score, and ties only up to k
 can be among the k best, so each tile reports rows in proportion to its queries, never its pairs.
 
 Vectors are rounded down to ``floor(scale * x)``. Products run in float64 while every sum stays below 2**53 and in
-Python integers otherwise, so scores are exact; beyond a long they are cut to its range.
+Python integers otherwise, so scores are exact; beyond 2**62 they are cut to it.
 
 Edge cases: vectors that are null or hold a null or non-finite component, and rows of null id, take no part; short
 vectors count as padded with zeros; a query is answered once however often its row repeats, repeated candidates
@@ -26,7 +26,8 @@ from gridloom.llm.common import column, drop_scratch, scratch
 
 BINS = 512
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
-_LONG = (1 << 63) - 1
+#: Scores are cut to this, so that sums of bounds stay in a long.
+MOST = 1 << 62
 
 
 def _clean(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -62,7 +63,7 @@ def _scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
         return q @ c.T
     ints = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
     s = ints(q) @ ints(c).T
-    return np.minimum(np.maximum(s, -_LONG), _LONG)
+    return np.minimum(np.maximum(s, -MOST), MOST)
 
 
 def _tile(left: pa.Table, right: pa.Table, dim: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +75,7 @@ def _tile(left: pa.Table, right: pa.Table, dim: int, exact: bool) -> tuple[np.nd
 
 def _kth(s: np.ndarray, real: np.ndarray, k: int) -> np.ndarray:
     """Each row's k-th highest real score, or its lowest if there are fewer."""
-    low = np.where(real, s, -np.inf if s.dtype != object else -_LONG)
+    low = np.where(real, s, -np.inf if s.dtype != object else -MOST)
     n = low.shape[1]
     return np.partition(low, n - min(k, n), axis=1)[:, n - min(k, n)] if s.dtype != object else np.sort(low, axis=1)[:, n - min(k, n)]
 
@@ -86,7 +87,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     facts = lambda d: d.agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max("most").alias("most"), F.max("dim").alias("dim")).first()
     fc, fq = facts(cand), facts(asked)
     dim = max(fc["dim"] or 0, fq["dim"] or 0, 1)
-    reach = min(int((fc["norm"] or 0) * (fq["norm"] or 0) * 1.0001) + 1, _LONG >> 1)  # |score| by Cauchy and Schwarz
+    reach = min(int((fc["norm"] or 0) * (fq["norm"] or 0) * 1.0001) + 1, MOST)  # |score| by Cauchy and Schwarz
     exact = (fc["most"] or 0) * (fq["most"] or 0) * dim < 1 << 53
     nq, nc = -(-max(1, fq["n"]) // QUERY_BLOCK), -(-max(1, fc["n"]) // CANDIDATE_BLOCK)
     tile = ["qb", "cb"]
@@ -113,7 +114,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
             lo = left["lo"].to_numpy()[:, None]
             lo = lo.astype(object) if s.dtype == object else lo
             row, col = np.nonzero(real & (s >= np.maximum(_kth(s, real, k)[:, None], lo)))
-            bins = np.minimum(((s - lo)[row, col] // width).astype(np.int64), BINS)
+            bins = np.minimum((s - lo)[row, col] // width, BINS).astype(np.int64)
             code, n = np.unique(row * (BINS + 1) + bins, return_counts=True)
             return pa.table({"qid": left["qid"].to_numpy()[code // (BINS + 1)], "bin": code % (BINS + 1), "n": n.astype(np.int64)})
 

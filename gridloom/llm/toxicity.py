@@ -84,6 +84,12 @@ def pack(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for d in docs for x in (d, pad)]), starts.astype(np.int64)
 
 
+def highest(z: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's largest response per filter and where its windows end; none reaches into the next text."""
+    ends = np.append(starts[1:] - width + 1, len(z))
+    return np.maximum.reduceat(z, np.stack([starts, ends], 1).ravel()[:-1], axis=0)[::2], ends
+
+
 def relu(x):
     return np.maximum(x, 0)
 
@@ -109,7 +115,7 @@ class Model:
             z = tables[0][flat[:n]]
             for k in range(1, len(tables)):
                 z = z + tables[k][flat[k : k + n]]
-            parts.append(relu(np.maximum.reduceat(z, starts, axis=0) + shift))
+            parts.append(relu(highest(z, starts, len(tables))[0] + shift))
         return np.concatenate(parts, axis=1)
 
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -156,8 +162,7 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], se
             for j, w in enumerate(WIDTHS):
                 n = len(flat) - w + 1
                 z = sum(x[k : k + n] @ params[1 + 2 * j][k] for k in range(w))
-                top = np.maximum.reduceat(z, starts, axis=0)
-                ends = np.append(starts[1:], n)
+                top, ends = highest(z, starts, w)
                 arg = np.stack([a + z[a:b].argmax(0) for a, b in zip(starts, ends)])
                 pooled.append(top + params[2 + 2 * j])
                 where.append(arg)
