@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 BATCH_ROWS = 1000
 #: ... and the UTF-8 bytes handed over at a time, so that very long texts come in slices of one row.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +87,7 @@ def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in slices(batch, text):
                 yield kernel(part)
+            pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -113,41 +113,34 @@ def _huge_digests(docs: DataFrame, huge_chars: int) -> DataFrame:
     return chunks.groupBy("uid", "doc_id", "text_hash", "n_chars", "sha").agg(F.sum("n_bytes").alias("n_bytes"), fold("h1", "s1", PRIMES[0]).alias("h1"), fold("h2", "s2", PRIMES[1]).alias("h2")).select("doc_id", "text_hash", "n_chars", "n_bytes", "h1", "h2", "sha")
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("h1", "h2", "n_bytes"), F.lit(BITMAP_BITS))
+def _bucket(h1, h2, n_bytes):
+    """A fingerprint's bit, by the same arithmetic on columns and on integers."""
+    return (h1 * 31 + h2 * 17 + n_bytes) % BITMAP_BITS
 
 
 def _collisions(docs: DataFrame, digests: DataFrame, chunk_chars: int) -> DataFrame:
     """Fingerprints (h1, h2, n_bytes) whose texts are not all the same bytes, found chunk by chunk."""
     key = ["h1", "h2", "n_bytes"]
     doubles = digests.groupBy(*key).count().filter("count > 1")
-    words = doubles.select(_bucket().alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    words = doubles.select(_bucket(F.col("h1"), F.col("h2"), F.col("n_bytes")).alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)  # of fixed size, whatever the corpus
     for word, bits in words.toLocalIterator():
         bitmap[word] = bits
-    packed = bitmap.view(np.uint8)
-    bits_of = docs.sparkSession.sparkContext.broadcast(packed.tobytes())
+    bits_of = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8).tobytes())
 
-    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
+    def chunked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held, rows = bits_of.value, []
         for text in column(batch, "text").to_pylist():
             data = normal(text)
             h1, _, h2, _ = fingerprint(data)
-            rows.append((h1, h2, len(data)))
-        cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([column(batch, "text"), *cols], ["text", *key])
-
-    def chunked(batches):
-        held = bits_of.value
-        for batch in batches:
-            for h1, h2, n, b, text in zip(*(column(batch, c).to_pylist() for c in (*key, "b", "text"))):
-                if held[b >> 3] >> (b & 7) & 1:
-                    data = normal(text)
-                    parts = [data[i : i + chunk_chars] for i in range(0, len(data), chunk_chars)] or [b""]
-                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(parts), pa.int64()) for x in (h1, h2, n)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], [*key, "no", "chunk"])
-
-    marks = map_texts(docs.select("text"), marked, "text string, h1 long, h2 long, n_bytes long")
-    chunks = marks.withColumn("b", _bucket()).mapInArrow(chunked, "h1 long, h2 long, n_bytes long, no int, chunk binary")
+            b = _bucket(h1, h2, len(data))
+            if held[b >> 3] >> (b & 7) & 1:
+                rows += [(h1, h2, len(data), no, data[i : i + chunk_chars]) for no, i in enumerate(range(0, max(len(data), 1), chunk_chars))]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        types = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*key, "no", "chunk"])
+
+    chunks = map_texts(docs.select("text"), chunked, "h1 long, h2 long, n_bytes long, no int, chunk binary")
     return chunks.groupBy(*key, "no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo <> hi").select(*key).distinct()
 
 
