@@ -41,8 +41,7 @@ def rgb_to_hcl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     rgb = [_linear(x) for x in (r, g, b)]
     x, y, z = (_lab(sum(m * v for m, v in zip(row, rgb)) / w) for row, w in zip(TO_XYZ, WHITE))
     la, aa, bb = 116 * y - 16, 500 * (x - y), 200 * (y - z)
-    hue = F.degrees(F.atan2(bb, aa))
-    return F.when(hue < 0, hue + 360).otherwise(hue), F.hypot(aa, bb), la
+    return F.pmod(F.degrees(F.atan2(bb, aa)), F.lit(360.0)), F.hypot(aa, bb), la
 
 
 def byte(x: Column) -> Column:
@@ -81,3 +80,8 @@ def pick_color(i: Column) -> tuple[Column, Column, Column]:
 
 def picked_id(r: Column, g: Column, b: Column) -> Column:
     return r + 256 * g + 65536 * b - 1
+
+
+def shifted(h: Column, c: Column, l: Column, match: Column, hue: float, least_chroma: float) -> tuple[Column, Column, Column]:  # noqa: E741
+    """HCL of matches with a new hue and at least some chroma, lightness kept; others unchanged."""
+    return F.when(match, F.lit(hue)).otherwise(h), F.when(match, F.greatest(c, F.lit(least_chroma))).otherwise(c), l
