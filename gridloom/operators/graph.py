@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.storage import dense_index
+
 
 def degree_strength(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree and strength of every node of ``nodes`` (id); a self-link counts once, an isolated node 0.
@@ -37,7 +39,7 @@ def self_loops(edges: DataFrame) -> DataFrame:
 def loop_of_edge(edges: DataFrame) -> DataFrame:
     """(edge_id, loop): the ordinal of the loop that an edge opens, else -1."""
     opened = self_loops(edges).select(F.col("first_edge").alias("edge_id"), "node")
-    ordinal = opened.withColumn("loop", F.row_number().over(Window.orderBy("edge_id")) - 1)
+    ordinal = dense_index(opened, ["edge_id"], "loop")
     return edges.join(ordinal, "edge_id", "left").select("edge_id", F.coalesce("loop", F.lit(-1)).cast("long").alias("loop"))
 
 
@@ -83,5 +85,4 @@ def instance_runs(ids: DataFrame) -> DataFrame:
     one = ids.select("id").distinct()
     starts = one.join(one.select((F.col("id") + 1).alias("id")), "id", "left_anti").select(F.col("id").alias("start"))
     ends = one.join(one.select((F.col("id") - 1).alias("id")), "id", "left_anti").select((F.col("id") + 1).alias("stop"))
-    nth = lambda d, c: d.select(c, F.row_number().over(Window.orderBy(c)).alias("n"))  # noqa: E731  one row a run
-    return nth(starts, "start").join(nth(ends, "stop"), "n").select("start", "stop")
+    return dense_index(starts, ["start"], "n").join(dense_index(ends, ["stop"], "n"), "n").select("start", "stop")

@@ -7,7 +7,7 @@ Spark splits get their place from ``read_lines``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.storage import dense_index, stored
@@ -115,8 +115,3 @@ def parse_network(lines: DataFrame, filename: str = "") -> tuple[DataFrame, Data
     edges, nodes = parse_edge_list(lines)
     return edges, nodes, False
 
-
-def last_section(lines: DataFrame) -> DataFrame:
-    """(pos, section): the section in force at each line, carried forward; for texts of bounded size."""
-    name = F.regexp_extract("line", r"^\s*\*([A-Za-z]+)", 1)
-    return lines.select("pos", F.last(F.when(name != "", F.lower(name)), ignorenulls=True).over(Window.orderBy("pos")).alias("section"))
