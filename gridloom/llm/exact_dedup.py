@@ -158,8 +158,16 @@ def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
     rows = digests.join(bad.withColumn("bad", F.lit(True)), key, "left").withColumn("variant", F.when(F.col("bad"), F.col("sha")).otherwise(F.lit("")))
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
     groups = rows.groupBy(*key, "variant").agg(F.min(order).alias("stays"), F.count("*").alias("group_size"))
-    return rows.join(groups, [*key, "variant"]).select(
-        "doc_id", F.col("stays.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("stays.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars", "text_hash"
+    doubles = scratch(groups.filter("group_size > 1"), "doubles")  # stored, so that a hot group's join can be split
+    alone = F.col("group_size").isNull()
+    return rows.join(doubles, [*key, "variant"], "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("stays.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("uid") == F.col("stays.uid"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+        "n_chars",
+        "text_hash",
     )
 
 
