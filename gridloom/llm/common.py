@@ -118,5 +118,19 @@ def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
     return rows.join(named, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
+def hash_sample(rows: DataFrame, wanted: int, *keys: str) -> DataFrame:
+    """``wanted`` rows of ``rows`` (all, if fewer), those that come first by a hash of the keys.
+
+    Rows are counted first, so that a filter on the hash leaves half as many again: what each task sorts and sends
+    doesn't grow with the corpus.
+    """
+    total = rows.count()
+    h = F.xxhash64(*keys)
+    if total > 2 * wanted:
+        share = 1 << 30
+        rows = rows.filter(F.pmod(h, F.lit(share)) < int(share * 1.5 * wanted / total) + 1)
+    return rows.withColumn("__h", F.pmod(h, F.lit(1 << 30))).orderBy("__h", *keys).limit(wanted).drop("__h")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, held_out, map_texts
+from gridloom.llm.common import column, hash_sample, held_out, map_texts
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 FIT_DOCS, EPOCHS, BATCH, RATE = 2400, 6, 32, 0.5
@@ -157,7 +157,7 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """A model from at most ``fit_docs`` rows of non-null lang that aren't held out."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = rows.select("text", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).orderBy("h", "t").limit(fit_docs)
+    picked = hash_sample(rows.select("doc_id", "text", "lang"), fit_docs, "doc_id", "text")
     table = picked.select("text", "lang").toArrow()
     return train(table["text"].to_pylist(), table["lang"].to_pylist())
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, keep_rows, map_texts, scratch, text_hash
+from gridloom.llm.common import column, hash_sample, keep_rows, map_texts, scratch, text_hash
 from gridloom.llm.components import components
 
 #: Fingerprints that the tree is fitted to.
@@ -170,7 +170,7 @@ def links(nodes_df: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     """Edges (a, b) between distinct fingerprints ``fp`` that span every link of at most ``radius`` bits."""
     total = nodes_df.count()
     depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, total / LEAF)))))
-    picked = nodes_df.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(SAMPLE).select("fp").collect()
+    picked = hash_sample(nodes_df.select("fp"), SAMPLE, "fp").collect()
     sample = np.array([r[0] for r in picked] or [0], np.int64).view(np.uint64)
     tree = fit_tree(sample, depth)
 

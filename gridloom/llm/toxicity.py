@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import column, held_out, map_texts
+from gridloom.llm.common import column, hash_sample, held_out, map_texts
 from gridloom.llm.langid import codes
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 8
@@ -257,7 +257,7 @@ def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, langs: list[s
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """A model from at most ``fit_docs`` labelled rows that aren't held out."""
     known = labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_docs)
+    known = hash_sample(known.filter(~held_out()), fit_docs, "doc_id", "toxic")
     has_lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", has_lang.alias("lang")).join(F.broadcast(known), "doc_id")  # fit_docs rows at most
 
