@@ -23,14 +23,26 @@ CACHE_LENGTH = 64
 
 _letters = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Letters whose lower case depends on who lowers it.
-_odd_case = re.compile("[\u03a3\u0130]")
-#: White space other than blank and line feed, as any of the libraries involved defines it.
+_odd_case = ("\u03a3", "\u0130")
+#: What Python splits at and the library doesn't.
+_odd_split = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: White space of ASCII other than blank and line feed; of all of Unicode, as any of the libraries involved defines it.
+_ascii_space = ("\t", "\x0b", "\x0c", "\r", *_odd_split)
 _other_space = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+def _holds(text: str, marks: tuple[str, ...]) -> bool:
+    for m in marks:  # a scan of memory each, far quicker than a pattern
+        if m in text:
+            return True
+    return False
+
+
 def _plain(text: str) -> bool:
     """Whether every gap between words is one blank or one line feed."""
-    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n" or _other_space.search(text))
+    if text[:1] in " \n" or text[-1:] in " \n" or _holds(text, ("  ", "\n ", " \n", "\n\n")):
+        return False
+    return not (_holds(text, _ascii_space) if text.isascii() else _other_space.search(text))
 
 
 _held: dict[tuple[str, bool], "Encoder"] = {}
@@ -93,7 +105,7 @@ class Encoder:
         missing: list[tuple[list[bytes | None], list[int], list[str]]] = []
         odd = []
         for no, text in enumerate(texts):
-            if not _plain(text) if self.spaced else _other_space.search(text):
+            if not _plain(text) if self.spaced else _holds(text, _odd_split):
                 odd.append(no)
                 parts.append([])
                 continue
@@ -101,7 +113,7 @@ class Encoder:
                 words = text.replace("\n", " \n").split(" ")
                 words[0] = "\t" + words[0]
             else:
-                words = (text.lower() if self.lower and not _odd_case.search(text) else text).split()
+                words = (text.lower() if self.lower and not _holds(text, _odd_case) else text).split()
             ids = list(map(held.get, words))
             parts.append(ids)
             if None in ids:
