@@ -65,7 +65,7 @@ def point_in_ring(spark, sf_dir):
     return _rings(spark, sf_dir).filter(G.point_in_ring(F.lit(10.0), F.lit(4.5), F.col("ring"))).select("id")
 
 
-@query("SELECT p_partkey AS id, round(abs(p_size - 20.0), 6) AS d FROM part WHERE p_partkey % 17 + 1 > 5")
+@query("SELECT p_partkey AS id, CAST(abs(p_size - 20) AS DOUBLE) AS d FROM part WHERE p_partkey % 17 + 1 > 5")
 def distance_to_path(spark, sf_dir):
     p = X.table(spark, sf_dir, "part").filter("p_partkey % 17 + 1 > 5")
     path = F.array(F.array(F.lit(20.0), F.lit(0.0)), F.array(F.lit(20.0), (F.col("p_partkey") % 17 + 1).cast("double")))

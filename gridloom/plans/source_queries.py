@@ -53,7 +53,7 @@ def parse_pajek(spark, sf_dir):
     return T.parse_pajek(_pajek(spark, sf_dir))[0]
 
 
-@query(PAJEK_SQL + "SELECT id, ext_id, label, CASE WHEN label <> CAST(ext_id AS VARCHAR) THEN 0.25 END AS x FROM n")
+@query(PAJEK_SQL + "SELECT id, ext_id, label, CASE WHEN label <> CAST(ext_id AS VARCHAR) THEN CAST(0.25 AS DOUBLE) END AS x FROM n")
 def parse_pajek_nodes(spark, sf_dir):
     return T.parse_pajek(_pajek(spark, sf_dir))[1].select("id", "ext_id", "label", "x")
 
