@@ -1,8 +1,9 @@
 """From ``documents`` to packed training sequences: five stages, each over all that the stage before it kept.
 
 Toxicity and language ID fit their models on the labelled rows they may learn from (see the operators) and drop
-what they reject; exact and near duplicates leave one document of each group, near duplicates by the same
-fingerprints and radius as their query; packing turns the rest into sequences of at most 1024 tokens.
+what they reject; exact and near duplicates leave one document of each group, near duplicates being texts whose
+five-word shingles have a Jaccard similarity of 0.8 or more; packing turns the rest into sequences of at most 1024
+tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, langid, packing, simhash, toxicity
+from gridloom.llm import exact_dedup, jaccard, langid, packing, toxicity
 from gridloom.llm.common import documents, scratch
 
 
@@ -35,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component keep the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs, shingle=4, radius=4)
+    return jaccard.drop_near_copies(docs, words=5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,121 @@
+"""Near copies by the Jaccard similarity of word shingles, found without loss.
+
+Two documents are linked if the sets of XXH64 hashes of their word shingles have a similarity of SIMILARITY or
+more. In any one order of all shingles, two such sets share one among their first n - ceil(4 n / 5) + 1 (prefix
+filter), so only documents that share a shingle there are compared, and every link is found:
+
+1. A document's set, in order of (uses in a bounded sample, hash): what many documents hold comes last. The order
+   is exact whatever the sample; only the number of comparisons depends on it.
+2. Of each shared prefix shingle the documents are compared with its smallest; components of the links.
+3. Of each shingle that still joins several components, documents of different components are compared. Those of
+   one need no look, so that a group of thousands of copies costs thousands of comparisons, not millions.
+
+Every comparison is of whole sets. Texts of fewer words than a shingle are one shingle; texts without a word are
+alike. Rows of equal sets are one node.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import column, drop_scratch, hash_sample, keep_rows, map_texts, scratch, text_hash
+from gridloom.llm.components import components
+
+#: Documents whose shingles are counted for the order, and counts that are kept.
+SAMPLE, COUNTS = 8192, 1 << 18
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, as signed longs in ascending order."""
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.int64)
+    n = max(1, len(w) - words + 1)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(n)), np.uint64, n).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, words: int, counted: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, text_hash, set_id, n, shingles): rarest first by ``counted`` (hashes in ascending order, uses)."""
+    known, uses = counted or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((known, uses))  # COUNTS rows at most
+
+    def ordered(s: np.ndarray) -> np.ndarray:
+        known, uses = shared.value
+        if not len(known):
+            return s
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        return s[np.argsort(np.where(known[at] == s, uses[at], 0), kind="stable")]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, words) for t in column(batch, "text").to_pylist()]
+        ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) for s in sets]
+        out = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([ordered(s) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), *out], ["doc_id", "text_hash", "set_id", "n", "shingles"])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")), kernel, "doc_id long, text_hash long, set_id long, n long, shingles array<long>")
+
+
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample hold, in ascending order, and how many hold each."""
+    some = shingle_sets(hash_sample(docs.select("doc_id", "text"), SAMPLE, "doc_id", "text"), words)
+    uses = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    t = uses.orderBy(F.desc("c"), "s").limit(COUNTS).toArrow().sort_by("s")
+    return t["s"].to_numpy(), t["c"].to_numpy()
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of 4/5 or more, in whole numbers.
+
+    Only sets that are asked for move.
+    """
+    pairs = scratch(pairs, "pairs")
+    ids = scratch(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "asked-sets")
+    sets = scratch(sets.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]), "compared-sets")
+    side = lambda k: sets.select(F.col("set_id").alias(k), F.col("n").alias("n" + k), F.col("shingles").alias("s" + k))
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = scratch(pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "similar")
+    drop_scratch(sets)
+    return found
+
+
+def may_be(n1, n2, at1, at2):
+    """Whether sets of these sizes can be similar that share a shingle at these places in the order."""
+    most = F.least(at1, at2) + F.least(n1 - at1, n2 - at2)  # shared before, and from this shingle on
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * most >= 4 * (n1 + n2))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between ``sets`` (set_id, n, shingles) that span every link of similarity 4/5 or more."""
+    head = F.slice("shingles", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).cast("int"))
+    prefix = sets.select("set_id", "n", F.posexplode(head).alias("at", "s"))
+    common = prefix.groupBy("s").agg(F.min(F.struct("set_id", "n", "at")).alias("first"), F.max("set_id").alias("last")).filter("first.set_id <> last")
+    asked = scratch(prefix.join(scratch(common.select("s", "first"), "common-shingles"), "s").distinct(), "prefixes")
+    first = alike(asked.filter(F.col("set_id") != F.col("first.set_id")).filter(may_be(*[F.col(p + c) for c in ("n", "at") for p in ("", "first.")])).select(F.col("set_id").alias("a"), F.col("first.set_id").alias("b")).distinct(), sets)
+
+    asked = asked.drop("first").join(components(first).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    asked = scratch(asked, "rooted")
+    several = asked.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
+    rest = asked.join(several, "s")
+    x, y = rest.select("s", *[F.col(c).alias(c + "1") for c in ("set_id", "n", "at", "root")]), rest.select("s", *[F.col(c).alias(c + "2") for c in ("set_id", "n", "at", "root")])
+    pairs = x.join(y, "s").filter(F.col("root1") < F.col("root2")).filter(may_be(*map(F.col, ("n1", "n2", "at1", "at2"))))
+    return first.union(alike(pairs.select(F.col("set_id1").alias("a"), F.col("set_id2").alias("b")).distinct(), sets))
+
+
+def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One row per document: doc_id, text_hash, set_id and root, the same for all of a component."""
+    rows = scratch(shingle_sets(docs, words, frequent(docs, words)), "shingle-sets")
+    roots = components(links(rows.select("set_id", "n", "shingles"))).withColumnRenamed("node", "set_id")
+    return rows.select("doc_id", "text_hash", "set_id").join(roots, "set_id", "left").select("doc_id", "text_hash", "set_id", F.coalesce("root", "set_id").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (of rows that share it, one)."""
+    stays = near_copies(docs, words).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
+    return keep_rows(docs, stays)
