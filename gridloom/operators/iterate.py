@@ -87,11 +87,11 @@ def heavy_edge_matching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return table.groupBy("all").applyInPandas(match, "id long, grp long")
 
 
-def local_matching(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def local_matching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, grp): the parallel form: of the open links those that are heaviest at both ends match, until none is."""
     e = stored(edges.filter("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("w")), "open-links")
     matched = None
-    for _ in range(rounds):
+    while True:
         key = F.struct("w", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
         best = e.select(F.explode(F.array("a", "b")).alias("id"), key.alias("k")).groupBy("id").agg(F.max("k").alias("k"))
         won = e.withColumn("k", key).join(best.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(best.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b").filter("k = ka and k = kb")
