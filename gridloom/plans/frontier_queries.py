@@ -100,7 +100,7 @@ def hue_shift(spark, sf_dir):
 
 @query()
 def multilevel_seed(spark, sf_dir):
-    return L.multilevel_seed(X.g1_nodes(spark).filter("id < 120"), X.g1(spark, sf_dir).filter("source < 120 and target < 120"), 800, 600, ticks=1).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return L.multilevel_seed(X.g1_nodes(spark), X.g1(spark, sf_dir), 800, 600, ticks=1).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query(with_("h", "SELECT id, CAST(path[1] * 10 + len(path) AS BIGINT) AS key FROM h"))
