@@ -3,9 +3,12 @@
 A text's feature counts are its character n-grams inside words (word edges marked by one space), hashed into
 ``BUCKETS``; its vector is the mean of their embeddings. As everything before the softmax is linear, the trained
 model folds into one table of a logit per bucket and language, which executors apply to whole texts with array
-arithmetic. Probabilities are calibrated by a temperature fitted to validation documents; below ``reject`` (the
-score under which SCARCE of the right validation predictions fall, never over REJECT_MOST) a prediction counts
-as rejected.
+arithmetic. Probabilities are calibrated by a temperature fitted to validation documents. As a softmax is sure of
+texts in no learned language too, a second table holds the log-frequency of each bucket in each language; a text's
+mean of it, standardised by what right validation predictions of its length show, is its *fit*. Below ``reject``
+(a probability) or below ``least_fit`` a prediction counts as rejected. Both lie between right validation predictions
+and negatives: validation texts whose language is held back, and, for the fit, such with their letters shuffled. With
+one language, ``least_fit`` is what SCARCE of the right ones don't reach.
 
 Fitting sees at most ``fit_docs`` labelled documents, those that come first by a hash of doc_id: a model needs no
 more, and the bound keeps the driver's memory. Prediction sees only the text.
@@ -17,6 +20,7 @@ labelled row at all every text is ``und``; repeated rows get equal results; extr
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,9 @@ from gridloom.llm.common import column, hash_sample, held_out, map_texts
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 FIT_DOCS, EPOCHS, BATCH, RATE = 2400, 6, 32, 0.5
-SCARCE, REJECT_MOST = 0.001, 0.4
+SCARCE = 0.001
+#: Share of a bucket's log-frequency that comes from no text, for buckets that a language doesn't use.
+UNSEEN = 0.05
 #: Code points below this are told letters from others by a table, the rest one by one.
 TABLE = 0x3000
 #: Code points featurised at a time.
@@ -86,15 +92,26 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject: float
+    logs: np.ndarray  # BUCKETS x langs
+    mean: np.ndarray  # of logs per language
+    spread: tuple[float, float]  # variance, and variance times n-grams
+    least_fit: float
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, probability, rejected)."""
         n = counts(text) if text and self.langs else None
         if n is None:
-            return "und", 0.0
-        z = (n.astype(np.float64) @ self.table) / n.sum() + self.bias
-        p = softmax(z / self.temperature)
+            return "und", 0.0, True
+        total = n.sum()
+        at = np.flatnonzero(n)
+        n = n[at] / total
+        p = softmax((n @ self.table[at] + self.bias) / self.temperature)
         k = int(np.argmax(p))
-        return self.langs[k], float(p[k])
+        fit = (n @ self.logs[at, k] - self.mean[k]) / np.sqrt(self.spread[0] + self.spread[1] / total)
+        return self.langs[k], float(p[k]), bool(p[k] < self.reject or fit < self.least_fit)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -104,16 +121,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     """SGD over the rows in order of a seeded shuffle; every fifth row only calibrates."""
-    sparse, known = [], []
+    sparse, known, whole = [], [], []
     for text, lang in zip(texts, langs):
         c = counts(text or "")
         if c is not None:  # only what occurs is kept: a row of all buckets would cost the driver 128 KB
             at = np.flatnonzero(c)
             sparse.append((at.astype(np.int32), (c[at] / c.sum()).astype(np.float32)))
             known.append(lang)
+            whole.append(text)
     names = sorted(set(known))
     if not names:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0, np.zeros((BUCKETS, 0)), np.zeros(0), (1.0, 0.0), 0.0)
     y = np.array([names.index(v) for v in known])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -149,9 +167,69 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(yc)), yc] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     p = softmax(z / temperature)
-    right = p.max(1)[p.argmax(1) == yc]
-    reject = float(min(REJECT_MOST, np.quantile(right, SCARCE))) if len(right) else 0.0
-    return Model(names, table, b.astype(np.float64), temperature, reject)
+    bad = np.array([])
+    if len(names) > 2:  # each text as if its language hadn't been learned
+        rest = z.copy()
+        rest[np.arange(len(yc)), yc] = -np.inf
+        bad = log_odds(rest / temperature)
+    reject = float(1 / (1 + np.exp(-between(log_odds(z / temperature)[p.argmax(1) == yc], np.append(bad, 0.0))))) if len(names) > 1 else 0.0
+    return Model(names, table, b.astype(np.float64), temperature, reject, *fit_bounds([sparse[r] for r in fit], y[fit], [whole[r] for r in check], yc, z, rng))
+
+
+def scarce(values: np.ndarray) -> float:
+    """The value under which SCARCE of the distribution falls: of few values, that of a normal law, if it is less."""
+    if not len(values):
+        return -np.inf
+    return float(min(np.quantile(values, SCARCE), values.mean() + NormalDist().inv_cdf(SCARCE) * values.std()))
+
+
+def between(good: np.ndarray, bad: np.ndarray) -> float:
+    """Midway between ``scarce(good)`` and what nine in ten of ``bad`` under it don't reach."""
+    low = scarce(good)
+    under = bad[bad < low]
+    return (low + float(np.quantile(under, 0.9))) / 2 if len(under) else low
+
+
+def log_odds(z: np.ndarray) -> np.ndarray:
+    """ln(p / (1 - p)) of the most probable language."""
+    top = np.sort(z, 1)
+    return -np.log(np.exp(top[:, :-1] - top[:, -1:]).sum(1) + 1e-300)
+
+
+def fit_bounds(sparse: list, y: np.ndarray, texts: list[str], yc: np.ndarray, z: np.ndarray, rng) -> tuple:
+    """(logs, mean, spread, least_fit) from training rows and validation ``texts`` with their languages and logits."""
+    k = z.shape[1]
+    seen = np.zeros((BUCKETS, k))
+    for (at, share), lang in zip(sparse, y):
+        seen[at, lang] += share
+    logs = np.log((1 - UNSEEN) * seen / np.maximum(seen.sum(0), 1e-9) + UNSEEN / BUCKETS)
+
+    def value(text: str) -> tuple[np.ndarray, int]:
+        c = counts(text)
+        at = np.flatnonzero(c)
+        return (c[at] / c.sum()) @ logs[at], int(c.sum())
+
+    own = [value(t) for t in texts]
+    v, n = np.array([o[0] for o in own]), np.array([o[1] for o in own], float)
+    rows = np.arange(len(yc))
+    right = z.argmax(1) == yc
+    mean = np.array([np.average(v[yc == i, i], weights=np.minimum(n[yc == i], 1000)) if (yc == i).any() else v.max(1).mean() for i in range(k)])
+    off = v[rows, yc] - mean[yc]  # its variance a + b / n: b from the shorter half, a from the longer
+    short = n <= np.median(n)
+    spread = (float(max(np.mean(off[~short] ** 2) if (~short).any() else 0.0, 1e-4)), float(np.mean(off[short] ** 2 * n[short])))
+    fits = lambda v, n, i: (v[np.arange(len(i)), i] - mean[i]) / np.sqrt(spread[0] + spread[1] / n)
+    good = fits(v, n, yc)[right]
+    bad = []
+    if k > 1:  # each text as if its language hadn't been learned
+        rest = z.copy()
+        rest[rows, yc] = -np.inf
+        bad.append(fits(v, n, rest.argmax(1)))
+    mixed = [value("".join(np.array(list(t))[rng.permutation(len(t))])) for t in texts]
+    mv, mn = np.array([o[0] for o in mixed]), np.array([o[1] for o in mixed], float)
+    bad.append(fits(mv, mn, yc))
+    bad = np.concatenate(bad)
+    # shuffled letters alone lie so far off that midway would let other languages pass
+    return logs, mean, spread, between(good, bad) if k > 1 else scarce(good)
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
@@ -173,9 +251,9 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        found = [m.predict(t) for t in column(batch, "text").to_pylist()]
+        found = [m.judge(t) for t in column(batch, "text").to_pylist()]
         names, scores = [f[0] for f in found], [f[1] for f in found]
-        refused = [n == "und" or s < m.reject for n, s in found]
+        refused = [f[2] for f in found]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], [*keep, *added])
 
     from pyspark.sql import types as T
