@@ -1,13 +1,15 @@
 """Licence scans: sparse TF-IDF cosines of lines and files to templates, then inheritance down the directories.
 
 Only DataFrame functions run here. A *unit* is a line that holds an anchor ("licen", "copyright", "redistribut":
-every template holds one), or the whole text of a file with such a line. Units and templates are sparse vectors of
+every template holds one), a block of lines that holds one, or the whole text of a file with such a line. A block is a
+run of two or more adjacent lines, comment marks stripped: one up to blank lines, or one of comment lines alone, so
+that a header that wraps over lines is judged as one. Units and templates are sparse vectors of
 tf * idf with idf = ln((1 + N) / (1 + df)) + 1 over all N files, df counted for the templates' words (a word of no
 template has df 0). A unit's licence is the template with the highest cosine, ties to the smaller name, if it
 reaches THRESHOLD. Equal units are scored once, so that a line that a third of all files share costs no more than
 any other; its files join the result by its hash.
 
-A file's own licence is that of its best line (ties: the first); a *licence file* is one that is called LICENSE,
+A file's own licence is that of its best line or block (ties: lines, then the first); a *licence file* is one that is called LICENSE,
 COPYING, ... or whose whole text reaches FILE_THRESHOLD. Files without a licence inherit from the nearest ancestor
 directory with a licence file (several: the highest cosine, then the smaller name), by an equality join of
 directory paths.
@@ -27,6 +29,10 @@ ANCHORS = ("licen", "copyright", "redistribut")
 THRESHOLD, FILE_THRESHOLD = 0.6, 0.8
 FILE_NAMES = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(?i)(^|/)copying[^/]*$"
 
+#: What opens a comment line, and what surrounds its words.
+COMMENT = r"(?i)^\s*(//|/?\*|#|;|--|%|<!--|dnl\b|rem\b)"
+MARKS = r"(?i)^\s*(dnl\b|rem\b)|^[\s/*#;%!<>'\"-]+|[\s*/>'\"-]+$"
+
 # The customary notices of public licences.
 TEMPLATES: list[tuple[str, str]] = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -58,6 +64,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"\.(?![0-9])", " "), r"[^\p{L}\p{N}.]+"), lambda w: w != "")
 
 
+def blocks(text: Column) -> Column:
+    """Runs of adjacent lines, as one line each: those between blank lines, and those of comment lines."""
+    lines = F.split(text, "\n")
+    bare = lambda x: F.regexp_replace(x, MARKS, "")
+    runs = [F.split(F.array_join(F.transform(lines, f), "\n"), r"\n{2,}") for f in (bare, lambda x: F.when(x.rlike(COMMENT), bare(x)).otherwise(""))]
+    several = F.filter(F.transform(F.concat(*runs), lambda x: F.regexp_replace(x, r"^\n+|\n+$", "")), lambda x: x.contains("\n"))
+    return F.array_distinct(F.transform(several, lambda x: F.regexp_replace(x, r"\s+", " ")))
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
     """One row per row of ``files`` (doc_id, path, text): doc_id, path, license, cosine, found ("header", "file",
     "inherited"), from_path."""
@@ -70,7 +85,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     text = F.coalesce(F.col("text"), F.lit(""))
     anchored = lambda c: F.greatest(*[F.lower(c).contains(a) for a in ANCHORS])
     rows = files.select("doc_id", "path", text.alias("text"))
-    lines = F.when(anchored(F.col("text")), F.filter(F.split("text", "\n"), anchored)).otherwise(F.array().cast("array<string>"))
+    lines = F.when(anchored(F.col("text")), F.concat(F.filter(F.split("text", "\n"), anchored), F.filter(blocks(F.col("text")), anchored))).otherwise(F.array().cast("array<string>"))
     whole = F.when(anchored(F.col("text")), F.regexp_replace("text", r"\s+", " "))
     base = scratch(rows.select("doc_id", "path", lines.alias("lines"), whole.alias("whole")).withColumn("uid", F.monotonically_increasing_id()), "licence-lines")
 
