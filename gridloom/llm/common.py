@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a kernel at a time; bounds the Python objects alive per worker.
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -110,12 +112,53 @@ def text_hash():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``stays`` (doc_id, text_hash) names, each once, with the columns of ``docs``."""
-    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    named = stays.select(number("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumns({"__id": number("doc_id"), "__hash": text_hash()})
-    return rows.join(named, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+#: Most rows of the bitmap that tells which rows need no join; 64 bits each.
+BITMAP_WORDS = 1 << 20
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, flag: str = "__maybe") -> DataFrame:
+    """``rows`` with ``flag``: false only where the long ``key`` is surely none of ``keys`` (one long column, k).
+
+    A bitmap of hashes answers, some 16 bits a key and BITMAP_WORDS words at most, whatever the corpus: where it fills
+    up more rows are let through, and the join that follows decides. Whole texts stay out of that join's shuffle.
+    """
+    n = keys.count()
+    words = min(BITMAP_WORDS, max(64, 1 << (n // 4).bit_length()))
+    bit = lambda k: F.pmod(k, F.lit(words * 64))
+    at = lambda k: (bit(k) % 64).cast("int")
+    k = F.col("k")
+    bitmap = keys.groupBy(F.expr(f"pmod(k, {words * 64}L) div 64").alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at(k))).alias("__bits"))
+    found = rows.withColumn("__k", key).join(F.broadcast(bitmap), F.floor(bit(F.col("__k")) / 64) == F.col("__word"), "left")  # BITMAP_WORDS rows at most
+    held = F.call_function("shiftrightunsigned", F.col("__bits"), at(F.col("__k"))).bitwiseAND(1) == 1
+    return found.withColumn(flag, F.coalesce(held, F.lit(False))).drop("__k", "__word", "__bits")
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with __id and __hash, which tell rows from one another."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__hash": text_hash()})
+
+
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, text_hash, kept; a row per row) keeps, alike ones once, with the
+    columns of ``docs``.
+
+    Only rows that may have to go, or that repeat, are shuffled.
+    """
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    named = found.groupBy(number.alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n"), F.max("kept").alias("__stays"))
+    doubtful = scratch(named.filter("n > 1 or not __stays").drop("n"), "doubtful")
+    rows = maybe_in(row_keys(docs), F.col("__hash"), doubtful.select(F.col("__hash").alias("k")))
+    asked = rows.filter("__maybe").join(doubtful, ["__id", "__hash"], "left").filter("coalesce(__stays, true)")
+    return rows.filter("not __maybe").select(*docs.columns).union(asked.dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+
+
+def pick_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) once for each row that ``wanted`` (doc_id, text_hash) names."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    wanted = scratch(wanted.select(number.alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "wanted")
+    rows = maybe_in(row_keys(docs.select("doc_id", "text")), F.col("__hash"), wanted.select(F.col("__hash").alias("k")))
+    named = rows.filter("__maybe").join(wanted, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__hash").alias("text_hash"), "text")
 
 
 def hash_sample(rows: DataFrame, wanted: int, *keys: str) -> DataFrame:

@@ -4,9 +4,9 @@ A text's normal form (white space removed, UTF-8) is read as a polynomial over t
 fingerprint of a concatenation follows from its parts, ``H(ab) = H(a) * R**len(b) + H(b)``, so documents over
 ``huge_chars`` are cut into chunks that different tasks hash and an associative fold combines; all others are
 hashed in one go by the same arithmetic. Texts with equal fingerprints are then compared chunk by chunk: the
-smallest and the largest chunk at each position must be the same bytes, a comparison that Spark combines on the
-map side, so that a group holding a third of the corpus costs each task one row per chunk. A group that fails it
-(a collision) is split by SHA-256.
+smallest and the largest chunk at each position must be the same characters, a comparison that Spark combines on the
+map side, so that a group holding a third of the corpus costs each task one row per chunk. Texts without a double
+aren't read again. A group that fails it (a collision) is split by SHA-256.
 
 Edge cases: null text counts as empty; empty texts equal each other; a null doc_id sorts last; where rows repeat
 a doc_id one row of them stays; extra columns are ignored.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, keep_rows, map_texts, scratch, text_hash
+from gridloom.llm.common import column, keep_rows, map_texts, maybe_in, scratch, slices, text_hash
 
 SPACES = b" \t\n\x0b\x0c\r"
 PRIMES = (2147483647, 2147483629)
@@ -30,8 +30,6 @@ RADICES = (1000003, 998244353)
 BLOCK = 1 << 16
 #: Characters per chunk of a huge document, and of the chunkwise comparison.
 HUGE_CHARS = 1 << 16
-#: Bits of the bitmap that keeps texts without a double out of the comparison's shuffle; it fills up, never errs.
-BITMAP_BITS = 1 << 22
 
 
 def _powers() -> list[np.ndarray]:
@@ -86,7 +84,7 @@ def _huge_digests(docs: DataFrame, huge_chars: int) -> DataFrame:
     pieces = "uid long, doc_id long, text_hash long, n_chars long, sha string, no int, data binary"
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             for uid, doc, h, text in zip(*(column(batch, c).to_pylist() for c in ("uid", "doc_id", "text_hash", "text"))):
                 sha = hashlib.sha256()
                 parts = [text[i : i + huge_chars] for i in range(0, len(text), huge_chars)]
@@ -113,35 +111,20 @@ def _huge_digests(docs: DataFrame, huge_chars: int) -> DataFrame:
     return chunks.groupBy("uid", "doc_id", "text_hash", "n_chars", "sha").agg(F.sum("n_bytes").alias("n_bytes"), fold("h1", "s1", PRIMES[0]).alias("h1"), fold("h2", "s2", PRIMES[1]).alias("h2")).select("doc_id", "text_hash", "n_chars", "n_bytes", "h1", "h2", "sha")
 
 
-def _bucket(h1, h2, n_bytes):
-    """A fingerprint's bit, by the same arithmetic on columns and on integers."""
-    return (h1 * 31 + h2 * 17 + n_bytes) % BITMAP_BITS
-
-
 def _collisions(docs: DataFrame, digests: DataFrame, chunk_chars: int) -> DataFrame:
-    """Fingerprints (h1, h2, n_bytes) whose texts are not all the same bytes, found chunk by chunk."""
+    """Fingerprints (h1, h2, n_bytes) whose texts are not all the same characters, found chunk by chunk.
+
+    Only texts whose fingerprint comes twice are read again, and cut into chunks where they are.
+    """
     key = ["h1", "h2", "n_bytes"]
-    doubles = digests.groupBy(*key).count().filter("count > 1")
-    words = doubles.select(_bucket(F.col("h1"), F.col("h2"), F.col("n_bytes")).alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)  # of fixed size, whatever the corpus
-    for word, bits in words.toLocalIterator():
-        bitmap[word] = bits
-    bits_of = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8).tobytes())
-
-    def chunked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held, rows = bits_of.value, []
-        for text in column(batch, "text").to_pylist():
-            data = normal(text)
-            h1, _, h2, _ = fingerprint(data)
-            b = _bucket(h1, h2, len(data))
-            if held[b >> 3] >> (b & 7) & 1:
-                rows += [(h1, h2, len(data), no, data[i : i + chunk_chars]) for no, i in enumerate(range(0, max(len(data), 1), chunk_chars))]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        types = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*key, "no", "chunk"])
-
-    chunks = map_texts(docs.select("text"), chunked, "h1 long, h2 long, n_bytes long, no int, chunk binary")
-    return chunks.groupBy(*key, "no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo <> hi").select(*key).distinct()
+    doubles = scratch(digests.groupBy(*key).count().filter("count > 1").select(*key), "double-prints")
+    asked = scratch(digests.select("text_hash", *key).distinct().join(doubles, key), "asked")
+    rows = maybe_in(docs.select("text", "text_hash"), F.col("text_hash"), asked.select(F.col("text_hash").alias("k")))
+    body = F.translate("text", SPACES.decode(), "")
+    parts = F.when(F.length(body) <= chunk_chars, F.array(body)).otherwise(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
+    chunks = rows.filter("__maybe").select("text_hash", F.posexplode(parts).alias("no", "chunk"))
+    each = chunks.groupBy("text_hash", "no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))  # copies meet on the map side
+    return each.join(asked, "text_hash").groupBy(*key, "no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select(*key).distinct()
 
 
 def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
@@ -173,4 +156,4 @@ def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with the row that stays of each group of equal texts."""
-    return keep_rows(docs, exact_dedup(docs).filter("kept").select("doc_id", "text_hash"))
+    return keep_rows(docs, exact_dedup(docs).select("doc_id", "text_hash", "kept"))

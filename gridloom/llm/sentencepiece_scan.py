@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, map_texts, scratch
+from gridloom.llm.common import column, map_texts, scratch, slices
 
 SPACE = "▁"
 CHUNK_CHARS = 1 << 16
@@ -370,7 +370,7 @@ def _giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
 
     def cut(batches):
         reach = model(path).longest
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             for uid, doc, text in zip(*(column(batch, c).to_pylist() for c in ("uid", "doc_id", "text"))):
                 text = normal(text)
                 for no, at in enumerate(range(0, len(text), chunk_chars)):

@@ -6,12 +6,15 @@
 3. By the triangle inequality a neighbour within ``radius`` of x can only lie in leaves whose distance intervals
    x's distance, widened by the radius, touches. x is sent to those leaves as a visitor as well; of two leaves
    only the one with the larger number is asked, so a pair is looked at once.
-4. In a leaf, rings of equal distance to two further vantage points prune by the same bound; what remains is
-   compared bit by bit. Only a spanning forest of the links leaves the task, so a group of thousands of near
-   copies yields thousands of edges, never millions. A leaf over ``block`` fingerprints (a dense cluster, which
-   no vantage point can split) is dealt out as pairs of blocks.
+4. A leaf's own fingerprints and its visitors are cut into blocks of at most some ``block`` rows, and a task (a
+   *tile*) compares two blocks, so that no task grows with the corpus. In a tile, rings of equal distance to two further
+   vantage points prune by the same bound; what remains is compared bit by bit. Only a spanning forest of the links
+   leaves the task, so a group of thousands of near copies yields thousands of edges, never millions.
 5. Components by alternating stars.
 
+Fingerprints may have several words of 64 bits, and a ``band`` that says which can be neighbours at all: those of
+the same band or of the next.
+
 Exactness doesn't depend on the sample; only balance does. With fingerprints of unrelated texts (distances near
 32, standard deviation 4) a median split prunes 13 % of the pairs and a pair of rings two thirds, so work still
 grows nearly with the square of the distinct fingerprints: see README for measured figures.
@@ -22,6 +25,8 @@ link to themselves; a null doc_id takes its component's smallest non-null doc_id
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,31 +75,35 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")), kernel, "doc_id long, text_hash long, fp long")
 
 
-def distance(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of fingerprints whose last axis is their words."""
+    d = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    for w in range(1, a.shape[-1]):
+        d = d + np.bitwise_count(a[..., w] ^ b[..., w])
+    return d
 
 
-def fit_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
+def fit_tree(sample: np.ndarray, depth: int) -> list[tuple[np.ndarray, int]]:
     """Nodes in heap order as (vantage point, median distance): at most the median goes left."""
     rng = np.random.default_rng(7)
-    nodes: list[tuple[int, int]] = []
-    parts = [np.unique(sample)]
+    nodes: list[tuple[np.ndarray, int]] = []
+    parts = [np.unique(sample, axis=0)]
     for _ in range(depth):
         below = []
         for part in parts:
             pool = part if len(part) else sample
             tries = pool[rng.integers(0, len(pool), min(8, len(pool)))]
-            v = max(tries, key=lambda t: (distance(pool, t).std(), int(t)))  # the widest spread splits best
+            v = max(tries, key=lambda t: (distance(pool, t).std(), *map(int, t)))  # the widest spread splits best
             d = distance(part, v)
             mid = int(np.median(d)) if len(d) else 32
-            nodes.append((int(v), mid))
+            nodes.append((v, mid))
             below += [part[d <= mid], part[d > mid]]
         parts = below
     return nodes
 
 
-def route(fps: np.ndarray, nodes: list[tuple[int, int]], depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home leaf of each, index of a visitor, leaf that it visits): leaves above its home only."""
+def route(fps: np.ndarray, nodes: list[tuple[np.ndarray, int]], depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home leaf of each, index of a fingerprint, another leaf that its ball touches)."""
     index, at, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
     for level in range(depth):
         first = (1 << level) - 1
@@ -105,8 +114,7 @@ def route(fps: np.ndarray, nodes: list[tuple[int, int]], depth: int, radius: int
         index, at, home = np.concatenate((index[left], index[right])), np.concatenate((2 * at[left], 2 * at[right] + 1)), np.concatenate((home[left] & (d <= mid)[left], home[right] & (d > mid)[right]))
     leaf = np.empty(len(fps), np.int64)
     leaf[index[home]] = at[home]
-    visits = at > leaf[index]
-    return leaf, index[visits], at[visits]
+    return leaf, index[~home], at[~home]
 
 
 class Forest:
@@ -131,75 +139,155 @@ class Forest:
             self.parent[r[1:]] = r[0]
 
 
-def leaf_edges(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``own`` and between ``visitors`` and ``own``."""
-    fps = np.concatenate((own, visitors))
-    if not len(own):
-        return own, own
-    v1 = own[0]
-    v2 = own[int(np.argmax(distance(own, v1) == np.median(distance(own, v1)).astype(int)))]
-    ring1, ring2 = distance(fps, v1).astype(np.int64), distance(fps, v2).astype(np.int64)
-    code = ring1 * 128 + ring2
-    order = np.argsort(code[: len(own)], kind="stable")
-    sorted_own, sorted_code = own[order], code[: len(own)][order]
-    forest = Forest(len(fps))
-    everyone = np.argsort(code, kind="stable")
-    cuts = np.flatnonzero(np.diff(code[everyone])) + 1
-    for group in np.split(everyone, cuts):
-        a, b = divmod(int(code[group[0]]), 128)
+Close = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def close(left: np.ndarray, right: np.ndarray, radius: int) -> Close:
+    """(rows of left, rows of right, their distances as a matrix) for parts that may hold pairs within the radius."""
+    if not len(left) or not len(right):
+        return
+    bits = 64 * left.shape[1]
+    if 8 * radius > bits:  # rings would prune next to nothing
+        for a in range(0, len(left), 64):
+            rows = np.arange(a, min(a + 64, len(left)))
+            for b in range(0, len(right), 1024):
+                d = distance(left[rows, None], right[None, b : b + 1024])
+                if d.min() <= radius:
+                    yield rows, np.arange(b, min(b + 1024, len(right))), d
+        return
+    v1 = right[0]
+    from1 = distance(right, v1)
+    v2 = right[int(np.argmax(from1 == np.median(from1).astype(int)))]
+    wide = 2 * bits
+    code = lambda fps: distance(fps, v1).astype(np.int64) * wide + distance(fps, v2)
+    mine, theirs = code(left), code(right)
+    order = np.argsort(theirs, kind="stable")
+    ringed, theirs = right[order], theirs[order]
+    everyone = np.argsort(mine, kind="stable")
+    for group in np.split(everyone, np.flatnonzero(np.diff(mine[everyone])) + 1):
+        a, b = divmod(int(mine[group[0]]), wide)
         for ring in range(max(0, a - radius), a + radius + 1):
-            lo, hi = np.searchsorted(sorted_code, [ring * 128 + max(0, b - radius), ring * 128 + b + radius + 1])
-            if lo == hi:
-                continue
-            near, its = sorted_own[lo:hi], order[lo:hi]
-            step = max(1, (1 << 20) // (hi - lo))
-            for s in range(0, len(group), step):
-                rows = group[s : s + step]
-                hit = distance(fps[rows][:, None], near[None, :]) <= radius
-                count = hit.sum(1)
-                for i in np.flatnonzero(count):
-                    js = its[hit[i]]
-                    if len(js) > 1 or js[0] != rows[i]:
-                        forest.join(np.append(js, rows[i]))
-    root = forest.roots(np.arange(len(fps)))
-    linked = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[linked], fps[root[linked]]
-
-
-def links(nodes_df: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that span every link of at most ``radius`` bits."""
-    total = nodes_df.count()
-    depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, total / LEAF)))))
-    picked = hash_sample(nodes_df.select("fp"), SAMPLE, "fp").collect()
-    sample = np.array([r[0] for r in picked] or [0], np.int64).view(np.uint64)
-    tree = fit_tree(sample, depth)
+            lo, hi = np.searchsorted(theirs, [ring * wide + max(0, b - radius), ring * wide + b + radius + 1])
+            for c in range(lo, hi, 4096):
+                near = slice(c, min(c + 4096, hi))
+                for s in range(0, len(group), 64):
+                    rows = group[s : s + 64]
+                    d = distance(left[rows, None], ringed[None, near])
+                    if d.min() <= radius:
+                        yield rows, order[near], d
+
+
+def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of positions in left + right (``same``: in left), of the links between the two."""
+    trees = Forest(len(left) + (0 if same else len(right)))
+    for rows, cols, d in close(left, right, radius):
+        hit = d <= radius
+        if same:
+            hit &= rows[:, None] != cols[None, :]
+        else:
+            cols = cols + len(left)
+        for i in np.flatnonzero(hit.any(1)):
+            trees.join(np.append(cols[hit[i]], rows[i]))
+    root = trees.roots(np.arange(len(trees.parent)))
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return linked, root[linked]
+
+
+def nearest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in left + right, position of what is nearest to it within the radius, distance), of either side."""
+    n = len(left)
+    best, to = np.full(n + len(right), 255, np.uint8), np.zeros(n + len(right), np.int64)
+    for rows, cols, d in close(left, right, radius):
+        if same:
+            d = np.where(rows[:, None] == cols[None, :], np.uint8(255), d)
+        for at, towards, by in ((rows, cols + n, d), (cols + n, rows, d.T)):
+            arg = by.argmin(1)
+            least = by[np.arange(len(by)), arg]
+            better = least < best[at]
+            best[at[better]], to[at[better]] = least[better], towards[arg[better]]
+    found = np.flatnonzero(best <= radius)
+    return found, to[found], best[found].astype(np.int64)
+
+
+def across(left: np.ndarray, right: np.ndarray, radius: int, of_left: np.ndarray, of_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (row of left, row of right) within the radius whose classes differ."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for rows, cols, d in close(left, right, radius):
+        i, j = np.nonzero((d <= radius) & (of_left[rows, None] != of_right[None, cols]))
+        out.append((rows[i], cols[j]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def words_of(rows, names: list[str]) -> np.ndarray:
+    """Fingerprint columns (signed longs) of a batch or table as an array of unsigned words, one row each."""
+    return np.stack([np.asarray(rows.column(c)).astype(np.int64, copy=False) for c in names], 1).view(np.uint64)
+
+
+def tiles(nodes: DataFrame, names: list[str], radius: int, block: int = BLOCK, leaf_rows: int = LEAF, least_depth: int = LEAST_DEPTH) -> DataFrame:
+    """``nodes`` (id long, fingerprint columns ``names``, maybe band int), each dealt out to the tiles that compare it.
+
+    Adds leaf, i, j and side: a tile compares rows of side 0 with those of side 1; where i = j it has side 0 alone,
+    whose rows are compared with one another. The table is stored.
+    """
+    total = nodes.count()
+    depth = max(least_depth, int(np.ceil(np.log2(max(1, total / leaf_rows)))))
+    picked = hash_sample(nodes.select("id", *names), SAMPLE, "id").select(*names).collect()
+    sample = np.array([list(r) for r in picked] or [[0] * len(names)], np.int64).view(np.uint64)
+    tree, banded = fit_tree(sample, depth), "band" in nodes.columns
 
     def dealt(batches):
         for batch in batches:
-            signed = column(batch, "fp").to_numpy()
-            home, index, leaf = route(signed.view(np.uint64), tree, depth, radius)
-            fp, at = np.concatenate((signed, signed[index])), np.concatenate((home, leaf))
-            visitor = np.concatenate((np.zeros(len(signed), bool), np.ones(len(index), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(at), pa.array(visitor)], ["fp", "leaf", "visitor"])
-
-    sent = nodes_df.select("fp").mapInArrow(dealt, "fp long, leaf long, visitor boolean")
-    sizes = {r["leaf"]: r["count"] for r in sent.filter("not visitor").groupBy("leaf").count().collect()}  # a row a leaf
-    blocks = {k: -(-n // block) for k, n in sizes.items() if n > block}
-    if blocks:
-        of = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("leaf")], F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), of)
-        tiles = F.when(F.col("visitor"), F.sequence(F.lit(0).cast("long"), of - 1)).otherwise(F.sequence(own, of - 1))
-        sent = sent.withColumn("own", own).select("fp", "leaf", "visitor", "own", F.explode(tiles).alias("tile"))
-        sent = sent.select("fp", "leaf", "tile", (F.col("visitor") | (F.col("tile") != F.col("own"))).alias("visitor"))
-    else:
-        sent = sent.select("fp", "leaf", F.lit(0).cast("long").alias("tile"), "visitor")
-
-    def search(table: pa.Table) -> pa.Table:
-        fp, visitor = table["fp"].to_numpy().view(np.uint64), table["visitor"].to_numpy()
-        a, b = leaf_edges(np.sort(fp[~visitor]), fp[visitor], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return sent.groupBy("leaf", "tile").applyInArrow(search, "a long, b long")
+            home, index, leaf = route(words_of(batch, names), tree, depth, radius)
+            own, up = np.arange(len(home)), leaf > home[index]  # of the own band the leaves above the own one
+            all_index, at = np.concatenate((own, index[up])), np.concatenate((home, leaf[up]))
+            if banded:
+                band = column(batch, "band").to_numpy().astype(np.int64)
+                at = band[all_index] << depth | at
+                above = np.concatenate((band + 1 << depth | home, band[index] + 1 << depth | leaf))  # every touched leaf
+                all_index, at = np.concatenate((all_index, own, index)), np.concatenate((at, above))
+            guest = np.arange(len(at)) >= len(home)
+            rows = batch.select(["id", *names]).take(pa.array(all_index))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at), pa.array(guest)], ["id", *names, "leaf", "guest"])
+
+    fields = ", ".join(f"{c} long" for c in ["id", *names])
+    sent = scratch(nodes.select("id", *names, *["band"] * banded).mapInArrow(dealt, f"{fields}, leaf long, guest boolean"), "routed")
+    blocks = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, 1).otherwise(0)) / block).cast("long")
+    sizes = scratch(sent.groupBy("leaf").agg(blocks(False).alias("homes"), blocks(True).alias("guests")).filter("homes > 0"), "leaf-sizes")  # a row a leaf
+    sent = sent.join(sizes, "leaf").withColumn("b", F.when(F.col("guest"), F.col("homes") + F.pmod(F.xxhash64("id"), F.col("guests"))).otherwise(F.pmod(F.xxhash64("id"), F.col("homes"))))
+    last = F.col("homes") + F.col("guests") - 1
+    one = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
+    as_left = F.when(F.col("guest"), F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")).otherwise(F.transform(F.sequence(F.col("b"), last), lambda j: one(F.col("b"), j, 0)))
+    before = F.when(F.col("guest"), F.col("homes")).otherwise(F.col("b"))
+    as_right = F.when(before > 0, F.transform(F.sequence(F.lit(0).cast("long"), before - 1), lambda i: one(i, F.col("b"), 1))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,side:int>>"))
+    out = sent.select("id", *names, "leaf", F.explode(F.concat(as_left, as_right)).alias("t"))
+    return scratch(out.select("id", *names, "leaf", "t.i", "t.j", "t.side"), "tiles")
+
+
+def search(dealt: DataFrame, names: list[str], compare: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray, bool], pa.Table], schema: str) -> DataFrame:
+    """``compare(left rows, their fingerprints, right rows, theirs, whether both are the same)`` in every tile."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        side = t["side"].to_numpy()
+        left, right = (t.take(pa.array(np.flatnonzero(side == k))) for k in (0, 1))
+        same = t["i"][0] == t["j"][0]
+        right = left if same else right
+        a = words_of(left, names)
+        return compare(left, a, right, a if same else words_of(right, names), same)
+
+    return dealt.groupBy("leaf", "i", "j").applyInArrow(run, schema)
+
+
+def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` that span every link of at most ``radius`` bits."""
+
+    def compare(left, a, right, b, same):
+        ids = a if same else np.concatenate((a, b))
+        x, y = forest(a, b, radius, same)
+        return pa.table({"a": ids[x, 0].view(np.int64), "b": ids[y, 0].view(np.int64)})
+
+    dealt = tiles(nodes.select(F.col("fp").alias("id"), "fp"), ["fp"], radius, block)
+    return search(dealt, ["fp"], compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -214,11 +302,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return prints.join(of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
+def first_of_each(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, kept) of ``found`` (doc_id, text_hash, root): of each root the smallest doc_id is kept."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")
+    stays = found.groupBy("root").agg(first).select(F.col("s.doc_id").alias("doc_id"), F.col("s.text_hash").alias("text_hash"), F.lit(True).alias("kept")).distinct()
+    row = found.select("doc_id", "text_hash")
+    return row.join(stays, row["doc_id"].eqNullSafe(stays["doc_id"]) & (row["text_hash"] == stays["text_hash"]), "left").select(row["doc_id"], row["text_hash"], F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of rows that share it, one)."""
-    found = near_duplicates(docs, shingle, radius)
-    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
-    return keep_rows(docs, stays)
+    return keep_rows(docs, first_of_each(near_duplicates(docs, shingle, radius)))
 
 
 def fp_hex(fp: str = "fp"):

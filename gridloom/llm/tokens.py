@@ -63,7 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library makes a token of wherever they stand in a text.
+        self.added = tuple(sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}))
         self.spaced, self.room = spaced, cache_words
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
         self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
@@ -105,7 +106,8 @@ class Encoder:
         missing: list[tuple[list[bytes | None], list[int], list[str]]] = []
         odd = []
         for no, text in enumerate(texts):
-            if not _plain(text) if self.spaced else _holds(text, _odd_split):
+            low = text.lower() if self.lower and not _holds(text, _odd_case) else text
+            if _holds(text, self.added) or _holds(low, self.added) or (not _plain(text) if self.spaced else _holds(text, _odd_split)):
                 odd.append(no)
                 parts.append([])
                 continue
@@ -113,7 +115,7 @@ class Encoder:
                 words = text.replace("\n", " \n").split(" ")
                 words[0] = "\t" + words[0]
             else:
-                words = (text.lower() if self.lower and not _holds(text, _odd_case) else text).split()
+                words = low.split()
             ids = list(map(held.get, words))
             parts.append(ids)
             if None in ids:

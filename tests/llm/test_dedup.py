@@ -63,14 +63,13 @@ def test_fingerprints_compose():
     assert whole == ((h1 * t1 + g1) % E.PRIMES[0], s1 * t1 % E.PRIMES[0], (h2 * t2 + g2) % E.PRIMES[1], s2 * t2 % E.PRIMES[1])
 
 
-def test_collisions_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [3, 1 << 16])
+def test_collisions_are_found_chunk_by_chunk(spark, chunk):
     """Fingerprints that collide must not merge texts: the chunkwise comparison tells them apart."""
-    d = docs(spark, [(1, "aaaa"), (2, "bbbb"), (3, "aaaa")]).select("doc_id", F.col("text"))
-    digests = d.select(F.lit(1).cast("long").alias("h1"), F.lit(1).cast("long").alias("h2"), F.lit(4).cast("long").alias("n_bytes"))
-    chunk = d.select(F.lit(1).alias("h1"), F.lit(0).alias("no"), F.col("text").cast("binary").alias("chunk"))
-    assert digests.count() == 3
-    bad = chunk.groupBy("h1", "no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo <> hi")
-    assert bad.count() == 1
+    d = docs(spark, [(1, "aaaa aaab"), (2, "aaaaaaaa"), (3, "aaaa aaab"), (4, "cc\ncc"), (5, "c ccc"), (6, "alone")]).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    group = F.when(F.col("doc_id") <= 3, 1).when(F.col("doc_id") <= 5, 2).otherwise(3).cast("long")
+    digests = d.select("text_hash", group.alias("h1"), F.lit(1).cast("long").alias("h2"), F.lit(8).cast("long").alias("n_bytes"))
+    assert [tuple(r) for r in E._collisions(d, digests, chunk).collect()] == [(1, 1, 8)]
 
 
 def test_drop_keeps_columns_and_one_row_each(spark):
@@ -138,8 +137,8 @@ def test_routes_cover_all_links():
     fps = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
     near = fps[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
     every = np.unique(np.concatenate((fps, near)))
-    tree = S.fit_tree(every[::3], 6)
-    home, index, leaf = S.route(every, tree, 6, 4)
+    tree = S.fit_tree(every[::3, None], 6)
+    home, index, leaf = S.route(every[:, None], tree, 6, 4)
     seen = {(int(i), int(b)) for i, b in zip(index, leaf)}
     d = np.bitwise_count(every[:, None] ^ every[None]) <= 4
     for i, j in zip(*np.nonzero(np.triu(d, 1))):

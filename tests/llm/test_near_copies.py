@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from gridloom.llm import jaccard as J
+from gridloom.llm import near_copies as J
 from gridloom.llm import simhash as S
 
 
@@ -30,7 +30,7 @@ def rows():
 
 
 def wanted(rows):
-    sets = [set(J.shingles(t).tolist()) for _, t in rows]
+    sets = [set(J.hashes(t)[:, 0].tolist()) for _, t in rows]
     root = list(range(len(rows)))
 
     def top(i):

@@ -44,10 +44,10 @@ def test_exact_stage_keeps_one_of_each(stages):
 
 
 def test_near_stage_keeps_the_first_of_each_component(stages):
-    from gridloom.llm.simhash import near_duplicates
+    from test_near_copies import wanted
 
-    found = near_duplicates(stages["exact_dedup"]).toPandas()
-    assert sorted(found.component_id.unique()) == sorted(r["doc_id"] for r in stages["simhash_near_dedup"].collect())
+    rows = [(r["doc_id"], r["text"]) for r in stages["exact_dedup"].select("doc_id", "text").collect()]
+    assert wanted(rows) == sorted(r["doc_id"] for r in stages["simhash_near_dedup"].collect())
 
 
 def test_few_clean_documents_go(stages):

@@ -16,7 +16,9 @@ from gridloom.llm import sentencepiece_scan as S
 from gridloom.llm.tokens import Encoder
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
-TEXTS = ["", " ", "a", "Hello, world. It's 5.0 o'clock...", "  two  gaps ", "x\n\ny\tz", "a\n b", "a \nb", "日本語 テキスト", "ΑΣ Σ İI ıi", "é é ß", "<|endoftext|> <|startoftext|>", "'s 's a's", "word" * 300, "a\u0085b c d", "foo ,bar. .baz ²³.", "ends with.\nStarts, here.", "x_. y_, 5. 6,"]
+TEXTS = [
+    "an <|endoftext|> inside, <|startoftext|>and<|endoftext|>",
+    "<|ENDOFTEXT|> x","", " ", "a", "Hello, world. It's 5.0 o'clock...", "  two  gaps ", "x\n\ny\tz", "a\n b", "a \nb", "日本語 テキスト", "ΑΣ Σ İI ıi", "é é ß", "<|endoftext|> <|startoftext|>", "'s 's a's", "word" * 300, "a\u0085b c d", "foo ,bar. .baz ²³.", "ends with.\nStarts, here.", "x_. y_, 5. 6,"]
 
 
 def documents(spark, n=60, seed=1):
@@ -29,7 +31,6 @@ def documents(spark, n=60, seed=1):
 @pytest.mark.parametrize("path,spaced", [(WORD, False), (BYTE, True)])
 def test_cached_encoding_equals_the_library(path, spaced):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     e = Encoder(path, spaced)
     for _ in range(3):  # cold, then from the cache
         for text, ids in zip(TEXTS, e.encode(TEXTS)):
@@ -52,7 +53,6 @@ def test_store_round_trip(spark):
     rows, df = documents(spark)
     got = R.read_store(R.write_store(df, WORD)).collect()
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     ids = {(i, x): [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
     at, want = 0, []
     for key in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
@@ -121,7 +121,6 @@ def test_packed_documents(spark):
     rows, df = documents(spark)
     got = K.pack_documents(df, BYTE).collect()
     t = Tokenizer.from_file(BYTE)
-    t.encode_special_tokens = True
     want = []
     for i, x in rows:
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
