@@ -4,6 +4,11 @@ Toxicity and language ID fit their models on the labelled rows they may learn fr
 what they reject; exact and near duplicates leave one document of each group, near duplicates being texts whose
 five-word shingles have a Jaccard similarity of 0.8 or more; packing turns the rest into sequences of at most 1024
 tokens.
+
+Edge cases, for every stage: a null text counts as empty (toxicity scores it as a text without words, language ID
+drops it as it has no letter); a null doc_id is a row like others that no model learns from; rows that repeat in
+doc_id and text are one after exact dedup; ties go to the smaller doc_id; an empty table stays empty; extra columns,
+whatever their names, are carried through unchanged up to packing.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, jaccard, langid, packing, toxicity
+from gridloom.llm import exact_dedup, langid, near_copies, packing, toxicity
 from gridloom.llm.common import documents, scratch
 
 
@@ -35,8 +40,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component keep the smallest doc_id."""
-    return jaccard.drop_near_copies(docs, words=5)
+    """Of each near-duplicate component keep the smallest doc_id: SimHash candidates, exact similarities."""
+    return near_copies.drop_near_copies(docs, words=5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
