@@ -8,7 +8,8 @@ Two documents are linked if the sets of their five-word shingles have a Jaccard
    (sets that are similar differ by less than a factor BAND in size). At similarity 0.8 two fingerprints differ in
    19.4 bits on average, with a deviation of 4.1, so that RADIUS = 32 bits miss one such pair in a thousand, and fewer of
    more similar ones; of unrelated pairs one in 10**8 passes.
-3. Every node's nearest neighbour first: their sets are compared exactly, and linked nodes form components.
+3. Inside each block of a leaf, then in all tiles, candidates that span what the radius links, close ones first: their
+   sets are compared exactly, and linked nodes form components. The second pass only looks between components.
 4. Then all candidates between different components, compared exactly. Those of one component need no look, so that a
    group of thousands of copies costs thousands of comparisons, not millions.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import column, drop_scratch, keep_rows, map_texts, pick_texts, scratch, text_hash
 from gridloom.llm.components import components
-from gridloom.llm.simhash import across, first_of_each, nearest, search, tiles
+from gridloom.llm.simhash import across, first_of_each, search, spanning, tiles
 
 #: Similarity as a fraction, bits that may differ, and the ratio of a band's largest to its smallest set (over 5 / 4).
 SIMILARITY, RADIUS, BAND = (4, 5), 32, 1.26
@@ -105,22 +106,26 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFr
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
     dealt = tiles(nodes.select(F.col("set_id").alias("id"), *WORDS, band.alias("band")), WORDS, radius, BLOCK, LEAF, DEPTH)
 
-    def closest(left, a, right, b, same):
-        ids = np.concatenate((left["id"].to_numpy(), right["id"].to_numpy()))
-        at, to, d = nearest(a, b, radius, same)
-        return pa.table({"a": ids[at], "b": ids[to], "d": d})
+    def spans(left, a, right, b, same):
+        ids, roots = (left[c].to_numpy() if same else np.concatenate((left[c].to_numpy(), right[c].to_numpy())) for c in ("id", "root"))
+        i, j = spanning(a, b, radius, same, roots)
+        return pa.table({"a": ids[i], "b": ids[j]})
 
     def others(left, a, right, b, same):
         i, j = across(a, b, radius, left["root"].to_numpy(), right["root"].to_numpy())
         return pa.table({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
 
-    asked = search(dealt, WORDS, closest, "a long, b long, d long").groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    edges = similar(asked.select(*pair("a", "x.b")).distinct(), nodes, docs, words)
-    roots = scratch(components(edges), "roots").withColumnRenamed("node", "id")
-    classed = dealt.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = search(classed, WORDS, others, "a long, b long")
-    edges = edges.union(similar(rest.select(*pair("a", "b")).distinct(), nodes, docs, words))
+    def linked(rows: DataFrame, compare) -> DataFrame:
+        found = search(rows, WORDS, compare, "a long, b long")
+        return similar(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words)
+
+    def classed(edges: DataFrame) -> DataFrame:
+        roots = scratch(components(edges), "roots").withColumnRenamed("node", "id")
+        return dealt.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    edges = linked(dealt.filter("i = j").withColumn("root", F.col("id")), spans)
+    edges = edges.union(linked(classed(edges), spans))
+    edges = edges.union(linked(classed(edges), others))
     roots = components(edges).withColumnRenamed("node", "set_id")
     return prints.join(roots, "set_id", "left").select("doc_id", "text_hash", "set_id", F.coalesce("root", "set_id").alias("root"))
 

@@ -193,20 +193,48 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tupl
     return linked, root[linked]
 
 
-def nearest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position in left + right, position of what is nearest to it within the radius, distance), of either side."""
+def spanning(left: np.ndarray, right: np.ndarray, radius: int, same: bool, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions in left + right (``same``: in left) within the radius that join all classes that such pairs
+    join, one pair less than there are classes to join at most, close pairs first (Boruvka's rounds).
+
+    ``classes`` has a class for each position.
+    """
     n = len(left)
-    best, to = np.full(n + len(right), 255, np.uint8), np.zeros(n + len(right), np.int64)
-    for rows, cols, d in close(left, right, radius):
-        if same:
-            d = np.where(rows[:, None] == cols[None, :], np.uint8(255), d)
-        for at, towards, by in ((rows, cols + n, d), (cols + n, rows, d.T)):
-            arg = by.argmin(1)
-            least = by[np.arange(len(by)), arg]
-            better = least < best[at]
-            best[at[better]], to[at[better]] = least[better], towards[arg[better]]
-    found = np.flatnonzero(best <= radius)
-    return found, to[found], best[found].astype(np.int64)
+    _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+    parent = np.arange(len(first))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    rows_on, cols_on, out = np.arange(n), np.arange(len(right)), []
+    while len(rows_on) and len(cols_on):
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+        root = parent[of]
+        best, to = np.full(len(classes), 255, np.uint8), np.zeros(len(classes), np.int64)
+        for rows, cols, d in close(left[rows_on], right[cols_on], radius):
+            x, y = rows_on[rows], cols_on[cols] + (0 if same else n)
+            d = np.where(root[x][:, None] != root[y][None, :], d, np.uint8(255))
+            for at, towards, by in ((x, y, d), (y, x, d.T)):
+                arg = by.argmin(1)
+                least = by[np.arange(len(by)), arg]
+                better = least < best[at]
+                best[at[better]], to[at[better]] = least[better], towards[arg[better]]
+        found = np.flatnonzero(best <= radius)
+        order = found[np.argsort(best[found], kind="stable")]
+        for k in np.sort(np.unique(root[order], return_index=True)[1]):  # each class's closest pair
+            i, j = int(order[k]), int(to[order[k]])
+            a, b = top(int(of[i])), top(int(of[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, j))
+        rows_on = found[found < n]
+        cols_on = rows_on if same else found[found >= n] - n
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def across(left: np.ndarray, right: np.ndarray, radius: int, of_left: np.ndarray, of_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
