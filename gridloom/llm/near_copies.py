@@ -8,10 +8,11 @@ Two documents are linked if the sets of their five-word shingles have a Jaccard
    (sets that are similar differ by less than a factor BAND in size). At similarity 0.8 two fingerprints differ in
    19.4 bits on average, with a deviation of 4.1, so that RADIUS = 32 bits miss one such pair in a thousand, and fewer of
    more similar ones; of unrelated pairs one in 10**8 passes.
-3. Inside each block of a leaf, then in all tiles, candidates that span what the radius links, close ones first: their
-   sets are compared exactly, and linked nodes form components. The second pass only looks between components.
-4. Then all candidates between different components, compared exactly. Those of one component need no look, so that a
-   group of thousands of copies costs thousands of comparisons, not millions.
+3. Tiles tell which fingerprints have a candidate at all. Only their sets are made, and only in those tiles: a second
+   search compares the sets of candidates exactly and returns a spanning forest of the links. Pairs never leave a
+   task, and pairs whose ends are linked already need no look, so that thousands of copies, or of texts that are
+   nearly similar enough, cost thousands of rows, not millions.
+4. Components by alternating stars.
 
 Similarities are counted in whole numbers over whole sets. At this radius triangle bounds prune next to nothing among
 unrelated texts; bands do, to about a sixth of all pairs.
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import column, drop_scratch, keep_rows, map_texts, pick_texts, scratch, text_hash
 from gridloom.llm.components import components
-from gridloom.llm.simhash import across, first_of_each, search, spanning, tiles
+from gridloom.llm.simhash import close, first_of_each, search, tiles
 
 #: Similarity as a fraction, bits that may differ, and the ratio of a band's largest to its smallest set (over 5 / 4).
 SIMILARITY, RADIUS, BAND = (4, 5), 32, 1.26
 WORDS = ["hi", "lo"]
-#: Fingerprints of a tile's side, and of a leaf before the tree gets deeper; a tile compares 2**26 pairs at most.
-BLOCK, LEAF, DEPTH = 1 << 13, 1 << 17, 2
+#: Shingles of a tile's side, at least so many counted for a set, and the fingerprints of a leaf before the tree gets
+#: deeper: a tile holds some 2 * 2**21 shingles and compares 2**26 pairs at most.
+BLOCK, LEAST, LEAF, DEPTH = 1 << 21, 256, 1 << 17, 2
 #: Shingles whose bits are summed up at a time.
 RUN = 1 << 15
 
@@ -78,24 +80,57 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return map_texts(rows, kernel, "doc_id long, text_hash long, set_id long, n long, hi long, lo long")
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have the similarity asked for; only sets that are asked for are made."""
-    pairs = scratch(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    asked = scratch(nodes.join(ids, "set_id", "left_semi").select("first.doc_id", "first.text_hash"), "asked-sets")
+def shingle_sets(nodes: DataFrame, ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of those of ``nodes`` that ``ids`` names, from one text of each."""
+    asked = nodes.join(ids, nodes["set_id"] == ids["id"], "left_semi").select("first.doc_id", "first.text_hash")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [hashes(t, words) for t in column(batch, "text").to_pylist()]
         firsts = [np.ascontiguousarray(s[:, 0]).astype("u8").view(np.int64) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array([sketch(s)[0] for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["set_id", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array([sketch(s)[0] for s in sets], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    sets = scratch(map_texts(pick_texts(docs, asked), kernel, "set_id long, shingles array<long>"), "compared-sets")
-    side = lambda k: sets.select(F.col("set_id").alias(k), F.col("shingles").alias("s" + k))
-    both, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    return scratch(map_texts(pick_texts(docs, asked), kernel, "id long, shingles array<long>"), "shingle-sets")
+
+
+def flat(sets: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists behind one another, where each starts, and their lengths."""
+    cells = sets.combine_chunks()
+    n = cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return cells.flatten().to_numpy(), np.cumsum(n) - n, n
+
+
+def linked(left: pa.ChunkedArray, a: np.ndarray, right: pa.ChunkedArray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of left, row of right) that span the links between sets whose fingerprints are within the radius."""
+    values, starts, sizes = flat(left)
+    if same:
+        its, its_starts, its_sizes = values, starts, sizes
+    else:
+        its, its_starts, its_sizes = flat(right)
+    words, code = np.unique(np.concatenate((values, its)), return_inverse=True)
+    mine, its = code[: len(values)], code[len(values) :]
+    held, n = np.zeros(len(words), bool), 0 if same else len(a)
+    label, out = np.arange(n + len(b)), [np.zeros((0, 2), np.int64)]
     p, q = SIMILARITY  # both / (sizes - both) >= p / q
-    found = scratch(pairs.join(side("a"), "a").join(side("b"), "b").filter((p + q) * both >= p * sizes).select("a", "b"), "similar")
-    drop_scratch(sets)
-    return found
+    for rows, cols, d in close(a, b, radius):
+        hit = d <= radius
+        for k in np.flatnonzero(hit.any(1)):
+            i = rows[k]
+            js = cols[hit[k]]
+            js = js[label[n + js] != label[i]]
+            if not len(js):
+                continue
+            own, m = mine[starts[i] : starts[i] + sizes[i]], its_sizes[js]
+            ends = np.cumsum(m)
+            held[own] = True
+            both = np.add.reduceat(held[its[np.repeat(its_starts[js] - (ends - m), m) + np.arange(ends[-1])]], ends - m, dtype=np.int64)
+            held[own] = False
+            js = js[(p + q) * both >= p * (sizes[i] + m)]
+            if len(js):
+                classes, first = np.unique(label[n + js], return_index=True)
+                out.append(np.stack([np.full(len(first), i), js[first]], 1))
+                label[np.isin(label, classes)] = label[i]
+    pairs = np.concatenate(out)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
@@ -104,28 +139,28 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = scratch(prints.filter("n > 0").groupBy("set_id", "n", *WORDS).agg(first), "sets")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
-    dealt = tiles(nodes.select(F.col("set_id").alias("id"), *WORDS, band.alias("band")), WORDS, radius, BLOCK, LEAF, DEPTH)
-
-    def spans(left, a, right, b, same):
-        ids, roots = (left[c].to_numpy() if same else np.concatenate((left[c].to_numpy(), right[c].to_numpy())) for c in ("id", "root"))
-        i, j = spanning(a, b, radius, same, roots)
-        return pa.table({"a": ids[i], "b": ids[j]})
-
-    def others(left, a, right, b, same):
-        i, j = across(a, b, radius, left["root"].to_numpy(), right["root"].to_numpy())
+    weight = F.greatest(F.col("n"), F.lit(LEAST).cast("long"))
+    dealt = tiles(nodes.select(F.col("set_id").alias("id"), *WORDS, band.alias("band"), weight.alias("weight")), WORDS, radius, BLOCK, LEAF, DEPTH)
+
+    def candidates(left, a, right, b, same):
+        near, its = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for rows, cols, d in close(a, b, radius):
+            hit = d <= radius
+            if same:
+                hit &= rows[:, None] != cols[None, :]
+            near[rows] |= hit.any(1)
+            its[cols] |= hit.any(0)
+        found = left.take(pa.array(np.flatnonzero(near | its if same else near)))
+        return found if same else pa.concat_tables([found, right.take(pa.array(np.flatnonzero(its)))])
+
+    def compared(left, a, right, b, same):
+        i, j = linked(left["shingles"], a, right["shingles"], b, same, radius)
         return pa.table({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
 
-    def linked(rows: DataFrame, compare) -> DataFrame:
-        found = search(rows, WORDS, compare, "a long, b long")
-        return similar(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words)
-
-    def classed(edges: DataFrame) -> DataFrame:
-        roots = scratch(components(edges), "roots").withColumnRenamed("node", "id")
-        return dealt.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    edges = linked(dealt.filter("i = j").withColumn("root", F.col("id")), spans)
-    edges = edges.union(linked(classed(edges), spans))
-    edges = edges.union(linked(classed(edges), others))
+    asked = scratch(search(dealt, WORDS, candidates, dealt.schema), "candidates")
+    drop_scratch(dealt)
+    sets = shingle_sets(nodes, asked.select("id").distinct(), docs, words)
+    edges = search(asked.join(sets, "id"), WORDS, compared, "a long, b long")
     roots = components(edges).withColumnRenamed("node", "set_id")
     return prints.join(roots, "set_id", "left").select("doc_id", "text_hash", "set_id", F.coalesce("root", "set_id").alias("root"))
 

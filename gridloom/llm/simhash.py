@@ -193,70 +193,20 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tupl
     return linked, root[linked]
 
 
-def spanning(left: np.ndarray, right: np.ndarray, radius: int, same: bool, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions in left + right (``same``: in left) within the radius that join all classes that such pairs
-    join, one pair less than there are classes to join at most, close pairs first (Boruvka's rounds).
-
-    ``classes`` has a class for each position.
-    """
-    n = len(left)
-    _, first, of = np.unique(classes, return_index=True, return_inverse=True)
-    parent = np.arange(len(first))
-
-    def top(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    rows_on, cols_on, out = np.arange(n), np.arange(len(right)), []
-    while len(rows_on) and len(cols_on):
-        while not np.array_equal(up := parent[parent], parent):
-            parent[:] = up
-        root = parent[of]
-        best, to = np.full(len(classes), 255, np.uint8), np.zeros(len(classes), np.int64)
-        for rows, cols, d in close(left[rows_on], right[cols_on], radius):
-            x, y = rows_on[rows], cols_on[cols] + (0 if same else n)
-            d = np.where(root[x][:, None] != root[y][None, :], d, np.uint8(255))
-            for at, towards, by in ((x, y, d), (y, x, d.T)):
-                arg = by.argmin(1)
-                least = by[np.arange(len(by)), arg]
-                better = least < best[at]
-                best[at[better]], to[at[better]] = least[better], towards[arg[better]]
-        found = np.flatnonzero(best <= radius)
-        order = found[np.argsort(best[found], kind="stable")]
-        for k in np.sort(np.unique(root[order], return_index=True)[1]):  # each class's closest pair
-            i, j = int(order[k]), int(to[order[k]])
-            a, b = top(int(of[i])), top(int(of[j]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
-        rows_on = found[found < n]
-        cols_on = rows_on if same else found[found >= n] - n
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def across(left: np.ndarray, right: np.ndarray, radius: int, of_left: np.ndarray, of_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (row of left, row of right) within the radius whose classes differ."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for rows, cols, d in close(left, right, radius):
-        i, j = np.nonzero((d <= radius) & (of_left[rows, None] != of_right[None, cols]))
-        out.append((rows[i], cols[j]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-
 def words_of(rows, names: list[str]) -> np.ndarray:
     """Fingerprint columns (signed longs) of a batch or table as an array of unsigned words, one row each."""
     return np.stack([np.asarray(rows.column(c)).astype(np.int64, copy=False) for c in names], 1).view(np.uint64)
 
 
 def tiles(nodes: DataFrame, names: list[str], radius: int, block: int = BLOCK, leaf_rows: int = LEAF, least_depth: int = LEAST_DEPTH) -> DataFrame:
-    """``nodes`` (id long, fingerprint columns ``names``, maybe band int), each dealt out to the tiles that compare it.
+    """``nodes`` (id long, fingerprint columns ``names``, maybe band int and weight long), each dealt out to the tiles
+    that compare it.
 
     Adds leaf, i, j and side: a tile compares rows of side 0 with those of side 1; where i = j it has side 0 alone,
-    whose rows are compared with one another. The table is stored.
+    whose rows are compared with one another. The rows of a side weigh about ``block`` (1 each, without weights). The
+    table is stored.
     """
+    nodes = nodes if "weight" in nodes.columns else nodes.withColumn("weight", F.lit(1).cast("long"))
     total = nodes.count()
     depth = max(least_depth, int(np.ceil(np.log2(max(1, total / leaf_rows)))))
     picked = hash_sample(nodes.select("id", *names), SAMPLE, "id").select(*names).collect()
@@ -274,12 +224,12 @@ def tiles(nodes: DataFrame, names: list[str], radius: int, block: int = BLOCK, l
                 above = np.concatenate((band + 1 << depth | home, band[index] + 1 << depth | leaf))  # every touched leaf
                 all_index, at = np.concatenate((all_index, own, index)), np.concatenate((at, above))
             guest = np.arange(len(at)) >= len(home)
-            rows = batch.select(["id", *names]).take(pa.array(all_index))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at), pa.array(guest)], ["id", *names, "leaf", "guest"])
+            rows = batch.select(["id", *names, "weight"]).take(pa.array(all_index))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(at), pa.array(guest)], ["id", *names, "weight", "leaf", "guest"])
 
-    fields = ", ".join(f"{c} long" for c in ["id", *names])
-    sent = scratch(nodes.select("id", *names, *["band"] * banded).mapInArrow(dealt, f"{fields}, leaf long, guest boolean"), "routed")
-    blocks = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, 1).otherwise(0)) / block).cast("long")
+    fields = ", ".join(f"{c} long" for c in ["id", *names, "weight"])
+    sent = scratch(nodes.select("id", *names, "weight", *["band"] * banded).mapInArrow(dealt, f"{fields}, leaf long, guest boolean"), "routed")
+    blocks = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, F.col("weight")).otherwise(0)) / block).cast("long")
     sizes = scratch(sent.groupBy("leaf").agg(blocks(False).alias("homes"), blocks(True).alias("guests")).filter("homes > 0"), "leaf-sizes")  # a row a leaf
     sent = sent.join(sizes, "leaf").withColumn("b", F.when(F.col("guest"), F.col("homes") + F.pmod(F.xxhash64("id"), F.col("guests"))).otherwise(F.pmod(F.xxhash64("id"), F.col("homes"))))
     last = F.col("homes") + F.col("guests") - 1
@@ -291,7 +241,7 @@ def tiles(nodes: DataFrame, names: list[str], radius: int, block: int = BLOCK, l
     return scratch(out.select("id", *names, "leaf", "t.i", "t.j", "t.side"), "tiles")
 
 
-def search(dealt: DataFrame, names: list[str], compare: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray, bool], pa.Table], schema: str) -> DataFrame:
+def search(dealt: DataFrame, names: list[str], compare: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray, bool], pa.Table], schema) -> DataFrame:
     """``compare(left rows, their fingerprints, right rows, theirs, whether both are the same)`` in every tile."""
 
     def run(t: pa.Table) -> pa.Table:
