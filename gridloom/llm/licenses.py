@@ -7,7 +7,7 @@ that a header that wraps over lines is judged as one. Units and templates are sp
 tf * idf with idf = ln((1 + N) / (1 + df)) + 1 over all N files, df counted for the templates' words (a word of no
 template has df 0). A unit's licence is the template with the highest cosine, ties to the smaller name, if it
 reaches THRESHOLD. Equal units are scored once, so that a line that a third of all files share costs no more than
-any other; its files join the result by its hash.
+any other; its files join the result by its 128-bit hash, so that texts aren't shuffled for it.
 
 A file's own licence is that of its best line or block (ties: lines, then the first); a *licence file* is one that is called LICENSE,
 COPYING, ... or whose whole text reaches FILE_THRESHOLD. Files without a licence inherit from the nearest ancestor
@@ -82,20 +82,21 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     vocabulary = sorted(r[0] for r in of_templates.select("word").distinct().collect())  # of the templates: fixed
     known = F.array(*[F.lit(w) for w in vocabulary])
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    anchored = lambda c: F.greatest(*[F.lower(c).contains(a) for a in ANCHORS])
-    rows = files.select("doc_id", "path", text.alias("text"))
-    lines = F.when(anchored(F.col("text")), F.concat(F.filter(F.split("text", "\n"), anchored), F.filter(blocks(F.col("text")), anchored))).otherwise(F.array().cast("array<string>"))
-    whole = F.when(anchored(F.col("text")), F.regexp_replace("text", r"\s+", " "))
-    base = scratch(rows.select("doc_id", "path", lines.alias("lines"), whole.alias("whole")).withColumn("uid", F.monotonically_increasing_id()), "licence-lines")
+    anchor = lambda c: F.lower(c).rlike("|".join(ANCHORS))
+    rows = files.select("doc_id", "path", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("anchored", anchor(F.col("text")))
+    whole = F.regexp_replace("text", r"\s+", " ")
+    lines = F.when(F.col("anchored"), F.filter(F.concat(F.split("text", "\n"), blocks(F.col("text"))), anchor)).otherwise(F.array().cast("array<string>"))
+    marks = lambda c: (F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"))
+    of_whole = F.when(F.col("anchored"), F.struct(*marks(whole)))
+    base = scratch(rows.select("doc_id", "path", lines.alias("lines"), of_whole.alias("whole")).withColumn("uid", F.monotonically_increasing_id()), "licence-lines")
 
     seen = rows.select(F.explode(F.array_intersect(known, words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     total = F.lit(1.0 + base.count())
     idf = spark.createDataFrame([(w,) for w in vocabulary], "word string").join(seen, "word", "left")
     idf = scratch(idf.select("word", (F.log(total / (1.0 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
 
-    units = base.select(F.explode("lines").alias("unit")).union(base.filter("whole is not null").select("whole")).distinct()
-    units = scratch(units.withColumn("unit_id", F.monotonically_increasing_id()), "units")
+    units = base.select(F.explode("lines").alias("unit")).union(rows.filter("anchored").select(whole))
+    units = scratch(units.select(*marks("unit"), "unit").dropDuplicates(["h1", "h2"]).withColumn("unit_id", F.monotonically_increasing_id()), "units")
     tf = units.select("unit_id", F.explode(words(F.col("unit"))).alias("word")).groupBy("unit_id", "word").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(idf.select("word", "idf")), "word", "left").select("unit_id", "word", (F.col("tf") * F.coalesce("idf", F.log(total) + 1)).alias("w"))  # idf: one row per word of the templates
     t_weighed = of_templates.join(idf, "word").select("tid", "name", "word", (F.col("tf") * F.col("idf")).alias("tw"))
@@ -105,10 +106,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     dots = weighed.join(F.broadcast(t_unit), "word").select("unit_id", "w", F.explode("of").alias("t")).groupBy("unit_id", "t.tid", "t.name").agg(F.sum(F.col("w") * F.col("t.tw")).alias("dot"))
     cosine = dots.join(norm, "unit_id").select("unit_id", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     best = cosine.groupBy("unit_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("b")).select("unit_id", F.col("b.name").alias("name"), (-F.col("b.c")).alias("cosine")).filter(F.col("cosine") >= threshold)
-    judged = scratch(units.join(best, "unit_id").select(F.xxhash64("unit").alias("hash"), "unit", "name", "cosine"), "judged")
+    judged = scratch(units.join(best, "unit_id").select("h1", "h2", "name", "cosine"), "judged")
 
-    asked = base.select("uid", F.posexplode("lines").alias("no", "unit")).union(base.filter("whole is not null").select("uid", F.lit(-1).alias("no"), "whole"))
-    hits = asked.withColumn("hash", F.xxhash64("unit")).join(judged, ["hash", "unit"])
+    asked = base.select("uid", F.posexplode("lines").alias("no", "unit")).select("uid", "no", *marks("unit"))
+    asked = asked.union(base.filter("whole is not null").select("uid", F.lit(-1).alias("no"), "whole.h1", "whole.h2"))
+    hits = asked.join(judged, ["h1", "h2"])
     order = F.struct((-F.col("cosine")).alias("c"), "no", "name")
     own = hits.groupBy("uid").agg(F.min(F.when(F.col("no") >= 0, order)).alias("line"), F.min(F.when(F.col("no") < 0, order)).alias("file"))
     named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))

@@ -1,15 +1,18 @@
 """Token-id output as Re-Pair grammars: shards of ids with rules, expansion lengths and random-access decoding.
 
-A shard holds whole documents in ascending doc_id order. Its ids are compressed by rounds of pair replacement: all
-pairs that occur at least MIN_COUNT times become nonterminals and are replaced from left to right; the next round
-pairs the shorter sequence, nonterminals included, until no pair is frequent, a round gains little or ROUNDS is reached. A shard's bytes
-(little-endian) are
+A shard holds whole documents in ascending doc_id order. Re-Pair replaces frequent pairs of neighbouring ids by
+nonterminals until no pair occurs MIN_COUNT times (below that a rule costs more than it saves). Rounds work from the
+most frequent pairs down: a round takes all pairs with at least 1 / STEP of the most frequent one's uses, counted
+exactly, and where chosen pairs overlap the more frequent one wins. Symbols (ids and nonterminals) are then numbered
+by frequency and written as byte planes under Huffman codes. A shard's bytes (little-endian) are
 
-    header   magic "GLRP", then 6 unsigned longs: documents, ids, terminals, rules, symbols, crc32 of all ids
+    header   magic "GLR2", then 6 unsigned longs: documents, ids, distinct ids, rules, symbols, crc32 of all ids
     docs     doc_id (long), known (byte), number of ids (long), each as a column
-    rules    left, right (unsigned int) and expansion length (long), each as a column; rule r is symbol terminals + r
-    symbols  low 16 bits of each, then a bit plane for each higher bit
-    index    expanded position (long) of every INDEX-th symbol
+    kinds    a bit for each symbol number: whether it is a rule
+    ids      of the numbers that are ids, ascending; planes
+    rules    left, right, expansion length of the numbers that are rules, ascending; planes each
+    index    for each BLOCK of symbols its first expanded position (long) and its size in bytes (unsigned int)
+    blocks   BLOCK symbols each; planes
 
 ``decode`` expands a shard, ``decode_range`` any run of ids through the index alone. Shards are the ``payload`` of
 a Parquet table in the shared folder: Spark's commit protocol then guards them against lost and repeated tasks, on
@@ -32,66 +35,67 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import column, scratch, slices, small_batches
 from gridloom.llm.tokens import encoder
 
-MAGIC = b"GLRP"
+MAGIC = b"GLR2"
 #: Ids after which a shard ends (with its document).
 SHARD_IDS = 1 << 19
-#: Pair replacement ends after so many rounds, or when a round removes a smaller share of the symbols. A pair must
-#: occur MIN_COUNT times: 8 uses pay for a rule, and overlaps cost some.
-ROUNDS, LEAST_GAIN, MIN_COUNT = 8, 0.05, 12
-#: Rules that a round may add: the most frequent pairs come first, the next round sees the rest again.
-ROUND_RULES = 1 << 13
-INDEX = 1024
+#: Least uses of a rule, and how far below the most frequent pair a round goes.
+MIN_COUNT, STEP = 4, 8
+#: Symbols that are decoded together.
+BLOCK = 1 << 14
 #: Words in a worker's token cache: some 200 MB.
 CACHE_WORDS = 900_000
-_HASH = 18
-
-
-def pair_slots(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each pair, pair of each slot, uses): a hash table in which one pair holds a slot and others wait."""
-    slot = ((code * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - _HASH)).astype(np.int64)
-    pair = np.zeros(1 << _HASH, np.int64)
-    pair[slot] = code
-    mine = pair[slot] == code
-    return np.where(mine, slot, -1), pair, np.bincount(slot[mine], minlength=1 << _HASH)
 
 
 def apart(where: np.ndarray) -> np.ndarray:
-    """Of overlapping pairs in a row, every second one."""
-    order = np.arange(len(where), dtype=np.int32)
+    """Of positions in a row, every second one."""
+    order = np.arange(len(where))
     begins = np.ones(len(where), bool)
     np.not_equal(where[1:], where[:-1] + 1, out=begins[1:])
     order -= np.maximum.accumulate(order * begins)
     return where[order & 1 == 0]
 
 
-def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules are rows (left, right) of symbols below their own."""
-    seq = ids.astype(np.int64)
-    rules: list[np.ndarray] = []
-    top = terminals
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * MIN_COUNT:
-            break
-        slot, pair, uses = pair_slots(seq[:-1] << 32 | seq[1:])
-        chosen = np.flatnonzero(uses >= MIN_COUNT)
-        chosen = chosen[np.argsort(-uses[chosen], kind="stable")[:ROUND_RULES]]
-        if not len(chosen):
+    seq = seq.astype(np.int64)
+    rules: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    top, step = terminals, STEP
+    while len(seq) >= 2 * MIN_COUNT:
+        code = seq[:-1] << 32 | seq[1:]
+        ordered = np.sort(code)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        uses = np.diff(np.append(first, len(ordered)))
+        least = max(MIN_COUNT, int(uses.max()) // step)
+        often = uses >= least
+        if not often.any():
             break
-        rule_of = np.full((1 << _HASH) + 1, -1, np.int64)  # the last is of pairs without a slot
-        rule_of[chosen] = np.arange(len(chosen))
-        where = apart(np.flatnonzero(rule_of[slot] >= 0))
-        seq[where] = top + rule_of[slot[where]]
+        pair, uses = ordered[first[often]], uses[often]
+        at = np.searchsorted(pair, code)
+        at[at == len(pair)] = 0
+        rank = np.empty(len(pair), np.int32)
+        rank[np.argsort(uses, kind="stable")] = np.arange(1, len(pair) + 1)
+        held = np.zeros(len(code) + 2, np.int32)
+        held[1:-1] = np.where(pair[at] == code, rank[at], 0)
+        mid = held[1:-1]
+        where = apart(np.flatnonzero((mid > 0) & (mid >= held[:-2]) & (mid >= held[2:])))  # equal neighbours are runs of one id
+        real = np.bincount(at[where], minlength=len(pair))
+        good = real >= MIN_COUNT
+        if not good.any():
+            if least == MIN_COUNT:
+                break
+            step *= STEP
+            continue
+        where = where[good[at[where]]]
+        seq[where] = top + (np.cumsum(good) - 1)[at[where]]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], 1))
-        top += len(chosen)
-        if len(where) < LEAST_GAIN * len(seq):
-            break
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+        rules.append(np.stack([pair[good] >> 32, pair[good] & 0xFFFFFFFF], 1))
+        top += int(good.sum())
+    return seq, np.concatenate(rules)
 
 
-def _lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
+def lengths_of(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Expansion length of every symbol. A rule's parts are symbols of earlier rounds, so sweeps settle it."""
     n = np.ones(terminals + len(rules), np.int64)
     while len(rules):
@@ -108,43 +112,73 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def _expansions(rules: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols' expansions behind one another, and where each starts."""
-    starts = np.zeros(terminals + len(rules), np.int64)
-    starts[:terminals] = np.arange(terminals)
-    flat = np.arange(terminals, dtype=np.uint32)
-    done = terminals
-    while done < len(starts):
-        ready = done + int(np.argmax(np.append(rules[done - terminals :].max(1) >= done, True)))  # one round of rules
-        parts = rules[done - terminals : ready - terminals].ravel()
-        added = _gather(flat, starts[parts], lengths[parts])
-        n = lengths[done:ready]
-        starts[done:ready] = len(flat) + np.cumsum(n) - n
-        flat = np.concatenate((flat, added))
-        done = ready
+def expansions(kinds: np.ndarray, ids: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols' expansions behind one another, and where each symbol's starts: rules by their depth."""
+    starts, done = np.zeros(len(kinds), np.int64), ~kinds
+    starts[done] = np.arange(len(ids))
+    flat, numbers = ids, np.flatnonzero(kinds)
+    todo = np.arange(len(numbers))
+    while len(todo):
+        ready = done[rules[todo]].all(1)
+        now, todo = todo[ready], todo[~ready]
+        assert len(now), "a shard is damaged"
+        parts, n = rules[now].ravel(), lengths[numbers[now]]
+        starts[numbers[now]] = len(flat) + np.cumsum(n) - n
+        flat = np.concatenate((flat, _gather(flat, starts[parts], lengths[parts])))
+        done[numbers[now]] = True
     return flat, starts
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' bytes, lowest first, each plane under a Huffman code of its own."""
+    out = []
+    top = int(values.max()) if len(values) else 0
+    for at in range(0, max(top.bit_length(), 1), 8):
+        z = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+        data = z.compress((values >> at & 255).astype(np.uint8).tobytes()) + z.flush()
+        out.append(struct.pack("<I", len(data)) + data)
+    return struct.pack("<B", len(out)) + b"".join(out)
+
+
+def from_planes(data: memoryview, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """``n`` values, and where their bytes end."""
+    values, count = np.zeros(n, np.int64), data[at]
+    at += 1
+    for k in range(count):
+        size = struct.unpack_from("<I", data, at)[0]
+        values |= np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size], -15), np.uint8, n).astype(np.int64) << 8 * k
+        at += 4 + size
+    return values, at
+
+
 def encode_shard(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
-    terminals = int(flat.max()) + 1 if len(flat) else 1
-    seq, rules = compress(flat, terminals)
-    lengths = _lengths(rules, terminals)
-    planes = [np.packbits(seq >> b & 1) for b in range(16, int(terminals + len(rules)).bit_length())]
-    ends = np.cumsum(lengths[seq]) if len(seq) else np.zeros(0, np.int64)
+    alphabet, seq = np.unique(flat, return_inverse=True)
+    seq, rules = compress(seq, len(alphabet))
+    lengths = lengths_of(rules, len(alphabet))
+    n = len(lengths)
+    order = np.argsort(-np.bincount(np.concatenate((seq, rules.ravel())), minlength=n), kind="stable")  # number -> symbol
+    number = np.empty(n, np.int64)
+    number[order] = np.arange(n)
+    kinds = order >= len(alphabet)
+    ruled = order[kinds] - len(alphabet)
+    blocks = [planes(number[seq[k : k + BLOCK]]) for k in range(0, len(seq), BLOCK)]
+    at = np.cumsum(lengths[seq]) - lengths[seq]
     return b"".join(
         (
             MAGIC,
-            struct.pack("<6Q", len(docs), len(flat), terminals, len(rules), len(seq), zlib.crc32(flat.astype("<u4").tobytes())),
+            struct.pack("<6Q", len(docs), len(flat), len(alphabet), len(rules), len(seq), zlib.crc32(flat.astype("<u4").tobytes())),
             np.array([d or 0 for d in docs], "<i8").tobytes(),
             np.array([d is not None for d in docs], "<u1").tobytes(),
             np.array([len(x) for x in ids], "<i8").tobytes(),
-            rules[:, 0].astype("<u4").tobytes(),
-            rules[:, 1].astype("<u4").tobytes(),
-            lengths[terminals:].astype("<i8").tobytes(),
-            (seq & 0xFFFF).astype("<u2").tobytes(),
-            *(p.tobytes() for p in planes),
-            (ends - lengths[seq])[::INDEX].astype("<i8").tobytes(),
+            np.packbits(kinds).tobytes(),
+            planes(alphabet[order[~kinds]].astype(np.int64)),
+            planes(number[rules[ruled, 0]]),
+            planes(number[rules[ruled, 1]]),
+            planes(lengths[order[kinds]]),
+            at[::BLOCK].astype("<i8").tobytes(),
+            np.array([len(b) for b in blocks], "<u4").tobytes(),
+            *blocks,
         )
     )
 
@@ -152,8 +186,8 @@ def encode_shard(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
 class Shard:
     def __init__(self, payload: bytes):
         assert payload[:4] == MAGIC, "not a shard"
-        n_docs, self.n_ids, self.terminals, n_rules, n, self.crc = struct.unpack_from("<6Q", payload, 4)
-        at = 52
+        n_docs, self.n_ids, n_alphabet, n_rules, self.n, self.crc = struct.unpack_from("<6Q", payload, 4)
+        data, at = memoryview(payload), 52
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -161,30 +195,45 @@ class Shard:
             at += out.nbytes
             return out
 
+        def spread(count: int) -> np.ndarray:
+            nonlocal at
+            out, at = from_planes(data, count, at)
+            return out
+
         ids, known = take("<i8", n_docs), take("<u1", n_docs)
         self.docs = [int(d) if k else None for d, k in zip(ids, known)]
         self.counts = take("<i8", n_docs)
-        left, right, length = take("<u4", n_rules), take("<u4", n_rules), take("<i8", n_rules)
-        self.rules = np.stack([left, right], 1).astype(np.int64)
-        self.lengths = np.concatenate((np.ones(self.terminals, np.int64), length))
-        self.symbols = take("<u2", n).astype(np.int64)
-        for b in range(16, int(self.terminals + n_rules).bit_length()):
-            self.symbols |= np.unpackbits(take("<u1", -(-n // 8)), count=n).astype(np.int64) << b
-        self.index = take("<i8", -(-n // INDEX))
-        self.flat, self.starts = _expansions(self.rules, self.lengths, self.terminals)
+        total = n_alphabet + n_rules
+        self.kinds = np.unpackbits(take("<u1", -(-total // 8)), count=total).astype(bool)
+        alphabet = spread(n_alphabet).astype(np.uint32)
+        self.rules = np.stack([spread(n_rules), spread(n_rules)], 1)
+        self.lengths = np.ones(total, np.int64)
+        self.lengths[self.kinds] = spread(n_rules)
+        n_blocks = -(-self.n // BLOCK)
+        self.index, sizes = take("<i8", n_blocks), take("<u4", n_blocks).astype(np.int64)
+        self.data, self.at = data, at + np.cumsum(sizes) - sizes
+        self.flat, self.starts = expansions(self.kinds, alphabet, self.rules, self.lengths)
+
+    def symbols(self, block: int) -> np.ndarray:
+        return from_planes(self.data, min(BLOCK, self.n - block * BLOCK), int(self.at[block]))[0]
+
+    def expand(self, first: int, last: int) -> np.ndarray:
+        """The ids of some blocks of symbols."""
+        parts = [self.symbols(b) for b in range(first, last)]
+        s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return _gather(self.flat, self.starts[s], self.lengths[s])
 
     def decode(self) -> np.ndarray:
-        out = _gather(self.flat, self.starts[self.symbols], self.lengths[self.symbols])
+        out = self.expand(0, len(self.index))
         assert len(out) == self.n_ids and zlib.crc32(out.astype("<u4").tobytes()) == self.crc, "a shard is damaged"
         return out
 
     def decode_range(self, start: int, n: int) -> np.ndarray:
-        """Ids start .. start + n of the shard, expanding only the symbols between two index entries and on."""
-        at = max(0, int(np.searchsorted(self.index, start, side="right")) - 1)
-        base = int(self.index[at]) if len(self.index) else 0
+        """Ids start .. start + n of the shard, reading only the blocks that hold them."""
+        first = max(0, int(np.searchsorted(self.index, start, side="right")) - 1)
         last = int(np.searchsorted(self.index, start + n, side="left"))
-        s = self.symbols[at * INDEX : last * INDEX]
-        return _gather(self.flat, self.starts[s], self.lengths[s])[start - base : start - base + n]
+        base = int(self.index[first]) if len(self.index) else 0
+        return self.expand(first, last)[start - base : start - base + n]
 
 
 def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
