@@ -39,7 +39,9 @@ MAGIC = b"GLR2"
 #: Ids after which a shard ends (with its document).
 SHARD_IDS = 1 << 19
 #: Least uses of a rule, and how far below the most frequent pair a round goes.
-MIN_COUNT, STEP = 4, 8
+MIN_COUNT, STEP = 4, 64
+#: Bits of the hash table that finds a pair.
+SLOT_BITS = 18
 #: Symbols that are decoded together.
 BLOCK = 1 << 14
 #: Words in a worker's token cache: some 200 MB.
@@ -47,51 +49,84 @@ CACHE_WORDS = 900_000
 
 
 def apart(where: np.ndarray) -> np.ndarray:
-    """Of positions in a row, every second one."""
+    """Which of ascending positions to take so that no two are neighbours: of a run every second one."""
     order = np.arange(len(where))
     begins = np.ones(len(where), bool)
     np.not_equal(where[1:], where[:-1] + 1, out=begins[1:])
     order -= np.maximum.accumulate(order * begins)
-    return where[order & 1 == 0]
+    return order & 1 == 0
+
+
+def _slots(code: np.ndarray) -> np.ndarray:
+    return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def place(code: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``pair`` each code is, or -1: by a hash table, and by search for those that lost a slot."""
+    table, slot = np.full(1 << SLOT_BITS, -1, np.int32), _slots(pair)
+    table[slot] = np.arange(len(pair))
+    lost = np.flatnonzero(table[slot] != np.arange(len(pair)))
+    at = table[_slots(code)]
+    at[(at < 0) | (pair[at] != code)] = -1
+    if len(lost):
+        rest = np.flatnonzero(at < 0)
+        k = np.minimum(np.searchsorted(pair[lost], code[rest]), len(lost) - 1)
+        hit = pair[lost[k]] == code[rest]
+        at[rest[hit]] = lost[k[hit]]
+    return at
 
 
 def compress(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules are rows (left, right) of symbols below their own."""
+    """(symbols, rules): rules are rows (left, right) of symbols below their own.
+
+    A pair that is rare once stays rare, as new pairs hold a new symbol; so only positions whose pair is frequent, or
+    new, are counted again.
+    """
     seq = seq.astype(np.int64)
     rules: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     top, step = terminals, STEP
-    while len(seq) >= 2 * MIN_COUNT:
-        code = seq[:-1] << 32 | seq[1:]
+    live = np.arange(max(len(seq) - 1, 0))
+    while len(live):
+        base = top if top < 1 << 16 else 1 << 32
+        code = seq[live] * base + seq[live + 1]
+        code = code.astype(np.uint32) if top < 1 << 16 else code
         ordered = np.sort(code)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         uses = np.diff(np.append(first, len(ordered)))
-        least = max(MIN_COUNT, int(uses.max()) // step)
-        often = uses >= least
+        often = uses >= MIN_COUNT
         if not often.any():
             break
         pair, uses = ordered[first[often]], uses[often]
-        at = np.searchsorted(pair, code)
-        at[at == len(pair)] = 0
+        at = place(code, pair)
+        live, at = live[at >= 0], at[at >= 0]
+        least = max(MIN_COUNT, int(uses.max()) // step)
         rank = np.empty(len(pair), np.int32)
         rank[np.argsort(uses, kind="stable")] = np.arange(1, len(pair) + 1)
-        held = np.zeros(len(code) + 2, np.int32)
-        held[1:-1] = np.where(pair[at] == code, rank[at], 0)
-        mid = held[1:-1]
-        where = apart(np.flatnonzero((mid > 0) & (mid >= held[:-2]) & (mid >= held[2:])))  # equal neighbours are runs of one id
-        real = np.bincount(at[where], minlength=len(pair))
-        good = real >= MIN_COUNT
+        rank[uses < least] = 0
+        held = np.zeros(len(seq) + 2, np.int32)
+        held[live + 1] = rank[at]
+        mine = rank[at]
+        chosen = np.flatnonzero((mine > 0) & (mine >= held[live]) & (mine >= held[live + 2]))  # equal neighbours are runs of one id
+        chosen = chosen[apart(live[chosen])]
+        good = np.bincount(at[chosen], minlength=len(pair)) >= MIN_COUNT
         if not good.any():
             if least == MIN_COUNT:
                 break
             step *= STEP
             continue
-        where = where[good[at[where]]]
-        seq[where] = top + (np.cumsum(good) - 1)[at[where]]
+        chosen = chosen[good[at[chosen]]]
+        where = live[chosen]
+        seq[where] = top + (np.cumsum(good) - 1)[at[chosen]]
+        top += int(good.sum())
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
+        again = np.zeros(len(seq) + 1, bool)  # the last stands for what is before the first
+        again[live] = again[where] = again[where - 1] = True
+        live = np.flatnonzero(again[:-1][keep])
         seq = seq[keep]
-        rules.append(np.stack([pair[good] >> 32, pair[good] & 0xFFFFFFFF], 1))
-        top += int(good.sum())
+        live = live[live < len(seq) - 1]
+        found = pair[good].astype(np.int64)
+        rules.append(np.stack([found // base, found % base], 1))
     return seq, np.concatenate(rules)
 
 
@@ -153,8 +188,10 @@ def from_planes(data: memoryview, n: int, at: int = 0) -> tuple[np.ndarray, int]
 
 def encode_shard(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
-    alphabet, seq = np.unique(flat, return_inverse=True)
-    seq, rules = compress(seq, len(alphabet))
+    seen = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    seen[flat] = True
+    alphabet = np.flatnonzero(seen)
+    seq, rules = compress((np.cumsum(seen) - 1)[flat], len(alphabet))
     lengths = lengths_of(rules, len(alphabet))
     n = len(lengths)
     order = np.argsort(-np.bincount(np.concatenate((seq, rules.ravel())), minlength=n), kind="stable")  # number -> symbol
@@ -172,7 +209,7 @@ def encode_shard(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
             np.array([d is not None for d in docs], "<u1").tobytes(),
             np.array([len(x) for x in ids], "<i8").tobytes(),
             np.packbits(kinds).tobytes(),
-            planes(alphabet[order[~kinds]].astype(np.int64)),
+            planes(alphabet[order[~kinds]]),
             planes(number[rules[ruled, 0]]),
             planes(number[rules[ruled, 1]]),
             planes(lengths[order[kinds]]),
