@@ -40,7 +40,8 @@ from gridloom.llm.common import column, map_texts, scratch
 
 THRESHOLD, DECAY = 0.25, 0.9
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote opens a quoted value only behind an equals sign; elsewhere it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _TOKEN = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -70,42 +71,94 @@ def _hash(a: int, b: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "key", "prior", "kids", "text", "inside")
+    __slots__ = ("tag", "parent", "key", "prior", "named", "kids", "text", "inside", "article")
 
 
-_kinds: dict[tuple[str, str, str], tuple[str, float | None, bool]] = {}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_kinds: dict[tuple[str, str, str], tuple[str, float | None, bool, bool]] = {}
 
 
-def _presentation(tag: str, attrs: str, above: str = "") -> tuple[str, float | None, bool]:
-    """(name, importance it claims or None, whether it claims to be the article); an article's own header is text."""
+def _presentation(tag: str, attrs: str, above: str = "") -> tuple[str, float | None, bool, bool]:
+    """(name, importance it claims or None, whether it claims to be the article, whether its class alone rules it out).
+
+    An article's own header is text, and so is a heading called a header; a page's root has no purpose of its own.
+    """
     held = _kinds.get((tag, attrs, above))
     if held:
         return held
     given = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if "=" in attrs else {}
     classes, role = _DIGITS.sub("", f"{given.get('class', '')} {given.get('id', '')}"), given.get("role", "")
     article = tag in TEXT_TAGS or role in TEXT_ROLES or "articlebody" in given.get("itemprop", "")
-    names = [n for n in _TOKEN.findall(classes) if n != "header" or "article" not in above]
+    names = [n for n in _TOKEN.findall(classes) if n != "header" or "article" not in above and tag not in HEADINGS]
     hidden = bool(re.search(r"(^|\s)hidden(\s|=|$)", attrs)) or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
     named = bool(NOT_TEXT_NAMES.intersection(names)) or any(n.startswith(p) or n.endswith(p) for n in names for p in NOT_TEXT_PARTS)
-    prior = 0.0 if tag in NOT_TEXT or role in NOT_TEXT_ROLES or named or hidden else 1.0 if article else None
-    out = (f"{tag}.{classes.strip()}", prior, article and prior != 0.0)
+    root, by_tag = tag in ("body", "html"), tag in NOT_TEXT or role in NOT_TEXT_ROLES or hidden
+    prior = None if root else 0.0 if by_tag or named else 1.0 if article else None
+    out = (f"{tag}.{classes.strip()}", prior, article and not by_tag, named and not by_tag and not root)
     if len(_kinds) < 100_000:
         _kinds[tag, attrs, above] = out
     return out
 
 
+class Stack:
+    """The open elements, with the places of each tag and of blocks, so that no tag is looked for one by one."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of a tag is, 0 without one."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, i: int) -> None:
+        """Close the element at i and all inside it."""
+        while len(self.nodes) > i:
+            self.at[self.nodes.pop().tag].pop()
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes what it encloses; one of an inline element doesn't close a block."""
+        i = self.last(tag)
+        if i and (tag in BLOCK or not self.blocks or self.blocks[-1] < i):
+            self.cut(i)
+
+    def start(self, tag: str) -> None:
+        """What a start tag closes: a block an open paragraph, an item or cell the one before it."""
+        if tag in BLOCK and tag not in ("body", "html") and self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in CLOSES:
+            ends, within = CLOSES[tag]
+            bound = max(self.last(t) for t in within)
+            if tag == "tr":  # a row also ends the cells and the row before it
+                open_ = [i for t in ends for i in self.at.get(t, ()) if i > bound]
+                if open_:
+                    self.cut(min(open_))
+            else:
+                i = max(self.last(t) for t in ends)
+                if i > bound:
+                    self.cut(i)
+
+
 def parse(html: str) -> list[Node]:
     """The page's elements in order of their start; text lies in each node's ``text`` as (position, string)."""
     root = Node()
-    root.tag, root.parent, root.key, root.prior, root.kids, root.text, root.inside = "#", None, 1, None, [], [], False
-    nodes, stack, at, order = [root], [root], 0, 0
+    root.tag, root.parent, root.key, root.prior, root.named, root.kids, root.text, root.inside, root.article = "#", None, 1, None, False, [], [], False, False
+    nodes, stack, at, order = [root], Stack(root), 0, 0
     find = _TAG.search
     low = None
     while True:
         m = find(html, at)
         piece = html[at : m.start() if m else len(html)]
         if piece:
-            stack[-1].text.append((order, piece))
+            stack.nodes[-1].text.append((order, piece))
             order += 1
         if not m:
             return nodes
@@ -115,51 +168,32 @@ def parse(html: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m.group(1):
-            for i in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:  # an inline end tag doesn't close a block
-                    break
-            stack[-1].text.append((order, None if tag in BLOCK else ""))
+            stack.end(tag)
+            stack.nodes[-1].text.append((order, None if tag in BLOCK else ""))
             order += 1
             continue
         attrs = m.group(3)
         if tag in RAW:
             if not attrs.endswith("/"):
-                low = low if low is not None else html.lower()
-                low = low if len(low) == len(html) else re.sub("[A-Z]", lambda c: c.group().lower(), html)
+                if low is None:
+                    low = html.lower()
+                    low = low if len(low) == len(html) else re.sub("[A-Z]", lambda c: c.group().lower(), html)
                 end = low.find("</" + tag, at)
                 at = len(html) if end < 0 else (html.find(">", end) + 1 or len(html))
             continue
         if tag == "br":
-            stack[-1].text.append((order, " "))
+            stack.nodes[-1].text.append((order, " "))
             order += 1
             continue
-        if tag in BLOCK and tag not in ("body", "html"):
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        if tag in CLOSES:
-            ends, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in within:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if tag != "tr":
-                        break
-        up = stack[-1]
+        stack.start(tag)
+        up = stack.nodes[-1]
         node = Node()
-        name, prior, article = _presentation(tag, attrs, "article" if up.inside else "")
+        name, prior, article, named = _presentation(tag, attrs, "article" if up.inside else "")
         node.tag, node.parent, node.kids, node.text = tag, up, [], []
-        node.key, node.inside = _hash(up.key, name), article or up.inside
-        if up.prior == 0.0:
-            prior = 0.0
-        elif up.inside and (tag in PROSE and (prior is None and name[len(tag) :] == "." or tag == "header" and name == "header.")):
+        node.key, node.inside, node.article, node.named = _hash(up.key, name), article and not named or up.inside, article, named
+        if up.inside and prior != 0.0 and (tag in PROSE and (prior is None and name[len(tag) :] == "." or tag == "header" and name == "header.")):
+            prior = 1.0
+        elif up.inside and tag == "header" and name == "header.":
             prior = 1.0
         node.prior = prior
         if tag in BLOCK:
@@ -168,7 +202,7 @@ def parse(html: str) -> list[Node]:
         up.kids.append(name)
         nodes.append(node)
         if tag not in VOID and not attrs.endswith("/"):
-            stack.append(node)
+            stack.push(node)
 
 
 def _squeezed(parts: list[str]) -> str:
@@ -176,15 +210,36 @@ def _squeezed(parts: list[str]) -> str:
 
 
 def main_text(html: str | None, noise: frozenset[int]) -> str:
-    """The text of a page without the branches whose keys are in ``noise`` or whose presentation rules them out."""
+    """The text of a page without the branches whose keys are in ``noise`` or whose presentation rules them out.
+
+    A class that seems to rule out all of a page's text (a theme's name on a wrapper) doesn't: then classes of what
+    encloses an article, and without an article all classes, are left out of account.
+    """
     nodes = parse(html or "")
+    text = _kept_text(nodes, noise, frozenset())
+    if not text and any(n.named for n in nodes):
+        around: set[int] = set()
+        for n in nodes:
+            up = n if n.article else None
+            while up is not None and id(up) not in around:
+                around.add(id(up))
+                up = up.parent
+        spared = frozenset(around) if around else frozenset(id(n) for n in nodes)
+        text = _kept_text(nodes, noise, spared)
+    return text
+
+
+def _kept_text(nodes: list[Node], noise: frozenset[int], spared: frozenset[int]) -> str:
+    """The text that is left; classes of ``spared`` nodes rule nothing out."""
     kept: dict[int, bool] = {}
     pieces: list[tuple[int, str | None, bool]] = []
     for n in nodes:
-        ok = (n.parent is None or kept[id(n.parent)]) and n.prior != 0.0 and (n.prior == 1.0 or n.key not in noise)
+        ruled = n.prior == 0.0 and not (n.named and id(n) in spared)
+        ok = (n.parent is None or kept[id(n.parent)]) and not ruled and (n.prior == 1.0 or n.key not in noise or id(n) in spared)
         kept[id(n)] = ok
         if ok:
-            pieces += [(o, s, n.inside) for o, s in n.text]
+            inside = n.inside or n.article
+            pieces += [(o, s, inside) for o, s in n.text]
         elif n.tag in BLOCK:
             pieces += [(o, None, n.inside) for o, _ in n.text[:1]]
     pieces.sort(key=lambda p: p[0])
@@ -209,10 +264,11 @@ PAGES, TEXTS, LAYOUTS = 0, 1, 2
 
 def statistics(html: str) -> set[tuple[int, int, int, int]]:
     """(node key, parent key, kind, feature) of a page."""
-    out = set()
+    out, dead = set(), {}
     for n in parse(html):
         up = n.parent.key if n.parent else 0
-        out.add((n.key, up, PAGES, 1 if n.prior is None else 2 if n.prior else 0))
+        dead[n.key] = dead.get(up, False) or n.prior == 0.0
+        out.add((n.key, up, PAGES, 0 if dead[n.key] else 1 if n.prior is None else 2))
         text = _squeezed([s for _, s in n.text if s])
         if text:
             out.add((n.key, up, TEXTS, _hash(0, text)))

@@ -58,6 +58,8 @@ def apart(where: np.ndarray) -> np.ndarray:
 
 
 def _slots(code: np.ndarray) -> np.ndarray:
+    if code.dtype == np.uint32:
+        return (code * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
     return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
@@ -66,10 +68,11 @@ def place(code: np.ndarray, pair: np.ndarray) -> np.ndarray:
     table, slot = np.full(1 << SLOT_BITS, -1, np.int32), _slots(pair)
     table[slot] = np.arange(len(pair))
     lost = np.flatnonzero(table[slot] != np.arange(len(pair)))
-    at = table[_slots(code)]
-    at[(at < 0) | (pair[at] != code)] = -1
+    at = table.take(_slots(code))
+    other = (at >= 0) & (pair.take(at, mode="wrap") != code)
+    rest = np.flatnonzero(other)  # a pair that lost finds another in its slot
+    at[rest] = -1
     if len(lost):
-        rest = np.flatnonzero(at < 0)
         k = np.minimum(np.searchsorted(pair[lost], code[rest]), len(lost) - 1)
         hit = pair[lost[k]] == code[rest]
         at[rest[hit]] = lost[k[hit]]
@@ -82,14 +85,14 @@ def compress(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     A pair that is rare once stays rare, as new pairs hold a new symbol; so only positions whose pair is frequent, or
     new, are counted again.
     """
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     top, step = terminals, STEP
     live = np.arange(max(len(seq) - 1, 0))
     while len(live):
         base = top if top < 1 << 16 else 1 << 32
-        code = seq[live] * base + seq[live + 1]
-        code = code.astype(np.uint32) if top < 1 << 16 else code
+        left, right = seq.take(live), seq.take(live + 1)
+        code = left * np.uint32(base) + right if top < 1 << 16 else left.astype(np.int64) << 32 | right
         ordered = np.sort(code)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         uses = np.diff(np.append(first, len(ordered)))
@@ -98,15 +101,15 @@ def compress(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
             break
         pair, uses = ordered[first[often]], uses[often]
         at = place(code, pair)
-        live, at = live[at >= 0], at[at >= 0]
+        frequent = np.flatnonzero(at >= 0)
+        live, at = live.take(frequent), at.take(frequent)
         least = max(MIN_COUNT, int(uses.max()) // step)
         rank = np.empty(len(pair), np.int32)
         rank[np.argsort(uses, kind="stable")] = np.arange(1, len(pair) + 1)
         rank[uses < least] = 0
-        held = np.zeros(len(seq) + 2, np.int32)
-        held[live + 1] = rank[at]
-        mine = rank[at]
-        chosen = np.flatnonzero((mine > 0) & (mine >= held[live]) & (mine >= held[live + 2]))  # equal neighbours are runs of one id
+        held, mine = np.zeros(len(seq) + 2, np.int32), rank.take(at)
+        held[live + 1] = mine
+        chosen = np.flatnonzero((mine > 0) & (mine >= held.take(live)) & (mine >= held.take(live + 2)))  # equal neighbours are runs of one id
         chosen = chosen[apart(live[chosen])]
         good = np.bincount(at[chosen], minlength=len(pair)) >= MIN_COUNT
         if not good.any():
@@ -127,7 +130,7 @@ def compress(seq: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         live = live[live < len(seq) - 1]
         found = pair[good].astype(np.int64)
         rules.append(np.stack([found // base, found % base], 1))
-    return seq, np.concatenate(rules)
+    return seq.astype(np.int64), np.concatenate(rules)
 
 
 def lengths_of(rules: np.ndarray, terminals: int) -> np.ndarray:

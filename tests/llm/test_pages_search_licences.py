@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridloom.llm import html as X
 from gridloom.llm import licenses as L
@@ -123,3 +124,50 @@ def test_licences(spark):
         c, name = cosine_to_templates(line, dfs, n)
         assert by[k]["license"] == name and abs(by[k]["cosine"] - c) < 2e-6
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_faulty_markup_keeps_the_main_text():
+    """A theme's class words on wrappers, stray quotes, headings called headers, many unclosed tags."""
+    from gridloom.llm.html import main_text
+
+    none = frozenset()
+    assert main_text("<body class='home has-sidebar comments-open'><p>one</p><nav>x</nav><footer>f</footer>", none) == "one"
+    assert main_text("<p class=x data-n=it's>Hello <b title=\"a > b\">w</b></p>", none) == "Hello w"
+    assert main_text("<h2 class='page-header'>T</h2><p>x</p><div class='sidebar'>s</div>", none) == "T\nx"
+    assert main_text("<nav>" + "<font>" * 300 + "menu</nav><p>main", none) == "main"
+    assert main_text("<div class='page-widget'><article><h1>A</h1><p>t</p></article><div class=comments>c</div></div>", none) == "A\nt"
+    assert main_text("<div class='site banner'><p>only text</p></div>", none) == "only text"
+    assert main_text("<article><header><h1>T</h1></header><p>x</p><div class=comments><p>no</p></div></article>", none) == "T\nx"
+
+
+def test_the_tree_finds_partly_repeated_blocks_without_any_telling_name(spark):
+    """Menus that show some of a site's entries, and footers of a few kinds, go by their entropy alone;
+    the statistics equal a plain count."""
+    import math
+    import random
+    from collections import Counter
+
+    from gridloom.llm import html as W
+
+    r = random.Random(3)
+    entries = [f"entry{k}" for k in range(8)]
+    rows = []
+    for k in range(40):
+        menu = "".join(f"<li><a>{e}</a></li>" for e in r.sample(entries, 4))
+        body = " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+        rows.append((k, "http://a.example/x", f"<div class=q><ul>{menu}</ul></div><div class=z><p>{body}</p></div><div class=u>Imprint, version {k % 3}</div>"))
+    rows.append((99, "http://b.example/", "<div><p>alone on its host</p></div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in W.extract(pages).collect()}
+    assert all(got[k] == rows[k][2].split("<p>")[1].split("</p>")[0] for k in range(40))
+    assert got[99] == "alone on its host"
+
+    seen = [W.statistics(h) for _, u, h in rows if "a.example" in u]
+    counts = Counter(f for page in seen for f in page)
+    nodes = sorted({(k, up) for k, up, _, _ in counts})
+    of = lambda k, kind: [c for (a, _, b, _), c in counts.items() if (a, b) == (k, kind)]
+    log = lambda k, kind, w: sum(c**w * math.log(c) for c in of(k, kind))
+    prior = {k: min(f for a, _, kind, f in counts if a == k and kind == W.PAGES) for k, _ in nodes}
+    noise = W.tree_noise([k for k, _ in nodes], [u for _, u in nodes], [sum(of(k, W.PAGES)) for k, _ in nodes], [len(of(k, W.TEXTS)) for k, _ in nodes], [log(k, W.TEXTS, 0) for k, _ in nodes], [len(of(k, W.LAYOUTS)) for k, _ in nodes], [log(k, W.LAYOUTS, 1) for k, _ in nodes], [prior[k] for k, _ in nodes])
+    found = {x["host"]: x["noise"] for x in W.site_noise(pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect()}
+    assert sorted(noise) == found["a.example"]
