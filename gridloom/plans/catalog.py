@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def queries() -> dict[str, Plan]:
-    from gridloom.plans import frontier_queries, geo_queries, graph_queries, hierarchy_queries, layout_queries, source_queries, stream_queries, view_queries  # noqa: F401
+    from gridloom.plans import frontier_queries, geo_queries, glyph_queries, graph_queries, hierarchy_queries, layout_queries, source_queries, stream_queries, view_queries  # noqa: F401
 
     return dict(QUERIES)
 

@@ -79,12 +79,12 @@ def pack_states(spark, sf_dir):
     return L.pack_states(s).select("physical", "state", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "r", "outer")])
 
 
-@query("SELECT p_partkey AS id, 0 AS subpath, CAST(i AS INTEGER) AS ord, round(p_size + 2 * cos(2 * pi() * (i % 4) / 4 - pi() / 2), 6) + 0.0 AS x FROM part, range(5) t(i) WHERE p_partkey < 100")
+@query("SELECT p_partkey AS id, 0 AS subpath, CAST(i AS INTEGER) AS ord, round(p_size + 2 * cos(2 * pi() * (i % 4) / 4 - pi() / 2), 6) + 0.0 AS x FROM part, range(5) t(i)")
 def draw_polygons(spark, sf_dir):
     from gridloom.functions.draw import register
 
     register(spark)
-    X.table(spark, sf_dir, "part").filter("p_partkey < 100").createOrReplaceTempView("gridloom_parts")
+    X.table(spark, sf_dir, "part").createOrReplaceTempView("gridloom_parts")
     return spark.sql("SELECT p_partkey AS id, subpath, ord, round(x, 6) + 0.0 AS x FROM gridloom_parts, LATERAL regular_polygon(CAST(p_size AS DOUBLE), 0.0D, 2.0D, 4)")
 
 
@@ -103,11 +103,6 @@ def multilevel_seed(spark, sf_dir):
     return L.multilevel_seed(X.g1_nodes(spark), X.g1(spark, sf_dir), 800, 600, ticks=1).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query(with_("h", "SELECT id, CAST(path[1] * 10 + len(path) AS BIGINT) AS key FROM h"))
-def path_metric(spark, sf_dir):
-    return X.hierarchy(spark, sf_dir).select("id", (F.element_at("path", 1) * 10 + F.size("path")).cast("long").alias("key"))
-
-
 @query(with_("h", "SELECT array_to_string(path[1:1], ':') AS path, count(*) AS children FROM (SELECT DISTINCT path[1:2] AS path FROM h) GROUP BY 1"))
 def child_counts(spark, sf_dir):
     return H.child_counts(X.hierarchy(spark, sf_dir)).filter("size(path) = 1").select(F.array_join("path", ":").alias("path"), "children")

@@ -179,11 +179,6 @@ def lod_crowding(spark, sf_dir):
     return V.crowding(X.hierarchy(spark, sf_dir), X.points(spark, sf_dir)).select(F.array_join("module", ":").alias("module"), F.round("clear_zoom", 6).alias("clear_zoom"))
 
 
-@query(with_("p", "SELECT id, round(2 * x + 10, 6) AS x, y FROM p WHERE x > 0"))
-def project_points(spark, sf_dir):
-    return X.points(spark, sf_dir).select("id", F.when(F.col("x") > 0, F.round(2 * F.col("x") + 10, 6)).alias("x"), "y").filter("x is not null")
-
-
 @query(with_("h", "SELECT array_to_string(path[1:1], ':') AS path, count(*) AS n FROM h GROUP BY 1"))
 def selection_by_path(spark, sf_dir):
     return X.hierarchy(spark, sf_dir).groupBy(H.path_key("path", 1).alias("path")).agg(F.count("*").alias("n"))
