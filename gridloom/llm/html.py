@@ -12,7 +12,8 @@ dropped) become one node of the host's style tree. A node's importance is entrop
   multiplies it by zero, one that names the article (article, main, role=main, articleBody) or plain prose inside
   it keeps it at one.
 
-Branches below THRESHOLD are cut from each page. If a page has article elements with text, they alone are read;
+Branches below THRESHOLD times the host's highest importance are cut from each page: a site whose pages have much in
+common keeps what differs most. If a page has article elements with text, they alone are read;
 else what is left of its body. Copies of a page count as one page of their host, so that a site of copies keeps
 its text. Statistics are counted over all pages by two plain aggregations whose keys end in a text's hash; no host
 is gathered in a task, only its tree, whose size is that of its templates.
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import column, map_texts, scratch
 
-THRESHOLD, DECAY = 0.25, 0.9
+#: Share of its host's highest importance under which a branch is noise, and the weight of layouts.
+THRESHOLD, DECAY = 0.4, 0.9
 
 #: A quote opens a quoted value only behind an equals sign; elsewhere it is a character like others.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>", re.S)
@@ -279,7 +281,7 @@ def statistics(html: str) -> set[tuple[int, int, int, int]]:
 
 
 def tree_noise(keys: list[int], ups: list[int], pages: list[int], texts: list[int], text_logs: list[float], layouts: list[int], layout_logs: list[float], priors: list[int]) -> list[int]:
-    """Of one host's style tree the nodes whose composite importance is under THRESHOLD, highest ones only.
+    """Of one host's style tree the nodes whose composite importance is under THRESHOLD times the highest.
 
     layout_logs: sum of c * log(c) over a node's layouts, each on c pages; text_logs: sum of log(c) over its texts.
     """
@@ -303,7 +305,8 @@ def tree_noise(keys: list[int], ups: list[int], pages: list[int], texts: list[in
         score[i] = (content if not layouts[i] else (1 - g) * shape + g * content) * (0.0 if priors[i] == 0 else 1.0)
         if priors[i] == 2:
             score[i] = 1.0
-    return [keys[i] for i in order if score[i] < THRESHOLD and (pages[i] > 1 or priors[i] == 0) and keys[i] != 1]
+    least = THRESHOLD * max(score, default=0.0)
+    return [keys[i] for i in order if score[i] < least and (pages[i] > 1 or priors[i] == 0) and keys[i] != 1]
 
 
 def site_noise(pages: DataFrame) -> DataFrame:
