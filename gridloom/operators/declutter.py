@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.view import View
-from gridloom.plans.storage import stored
+from gridloom.plans.storage import drop_stored, stored
 
 
 def independent_set(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def independent_set(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
             break
         lost = dropped if lost is None else lost.union(dropped)
         gone = dropped.select(F.col("id").alias("a"))
-        open_pairs = stored(open_pairs.join(gone, "a", "left_anti").join(dropped.select(F.col("id").alias("b")), "b", "left_anti"), "conflicts")
+        left = stored(open_pairs.join(gone, "a", "left_anti").join(dropped.select(F.col("id").alias("b")), "b", "left_anti"), "conflicts")
+        drop_stored(open_pairs)
+        open_pairs = left
     return ranks.select("id") if lost is None else ranks.select("id").join(lost, "id", "left_anti")
 
 
@@ -67,21 +69,31 @@ def declutter(points: DataFrame, view: View, spacing: float = 1.0, order: Column
 
 
 def cull_labels(labels: DataFrame, width: float, height: float, padding: float = 0.0) -> DataFrame:
-    """(id): axis-parallel label boxes (id, x, y, width, height, priority; x, y the centre) kept by priority, then id.
+    """(id): label boxes (id, x, y, width, height, priority, maybe rotation; x, y the centre) kept by priority, then id.
 
-    Boxes that miss the viewport are dropped first; boxes that only touch don't collide.
+    Boxes that miss the viewport are dropped first; boxes that only touch don't collide. Rotated boxes (radians) are
+    compared along the axes of both; their bounds come first.
     """
+    from gridloom.functions.labels import overlap
     from gridloom.plans.storage import dense_index
 
     w, h = F.col("width") / 2 + padding, F.col("height") / 2 + padding
-    boxes = labels.select("id", "x", "y", w.alias("hw"), h.alias("hh"), F.col("priority"))
+    turned = "rotation" in labels.columns
+    a = F.coalesce("rotation", F.lit(0.0)) if turned else F.lit(0.0)
+    c, s = F.abs(F.cos(a)), F.abs(F.sin(a))
+    bound = (w * c + h * s, w * s + h * c) if turned else (w, h)
+    boxes = labels.select("id", "x", "y", bound[0].alias("hw"), bound[1].alias("hh"), w.alias("bw"), h.alias("bh"), a.alias("a"), F.col("priority"))
     seen = boxes.filter((F.col("x") + F.col("hw") > 0) & (F.col("x") - F.col("hw") < width) & (F.col("y") + F.col("hh") > 0) & (F.col("y") - F.col("hh") < height))
     shown = stored(dense_index(seen, [F.col("priority").desc(), F.col("id")], "rank"), "labels")
     reach = shown.agg(F.max(F.greatest("hw", "hh"))).first()[0]
     if not reach:
         return shown.select("id")
     hit = (F.abs(F.col("x") - F.col("o_x")) < F.col("hw") + F.col("o_hw")) & (F.abs(F.col("y") - F.col("o_y")) < F.col("hh") + F.col("o_hh"))
-    return independent_set(shown, near_pairs(shown, 2 * reach, hit, ["x", "y", "hw", "hh"]))
+    columns = ["x", "y", "hw", "hh"]
+    if turned:
+        columns += ["bw", "bh", "a"]
+        hit = hit & overlap(*map(F.col, ("x", "y", "bw", "bh", "a", "o_x", "o_y", "o_bw", "o_bh", "o_a")))
+    return independent_set(shown, near_pairs(shown, 2 * reach, hit, columns))
 
 
 def winners(points: DataFrame, kept: DataFrame, view: View, spacing: float = 1.0) -> DataFrame:

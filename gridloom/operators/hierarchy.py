@@ -79,6 +79,13 @@ def child_counts(records: DataFrame) -> DataFrame:
     return leaves.join(subs, "path", "full").select("path", (F.coalesce("leaf_children", F.lit(0)) + F.coalesce("sub", F.lit(0))).alias("children"), F.coalesce("leaf_children", F.lit(0)).alias("leaf_children"))
 
 
+def sibling_links(tree: DataFrame) -> DataFrame:
+    """(module, a, b, weight): a chain through the children of each module of a tree (node, parent), by number."""
+    kids = tree.filter("parent is not null").select("parent", "node")
+    after = F.lead("node").over(Window.partitionBy("parent").orderBy("node"))
+    return kids.withColumn("b", after).filter("b is not null").select(F.col("parent").alias("module"), F.col("node").alias("a"), "b", F.lit(1.0).alias("weight"))
+
+
 def module_arcs(records: DataFrame) -> DataFrame:
     """(path, start, width): each module's share of the hue circle; siblings in branch order split their parent's.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.graph import merge_groups
-from gridloom.plans.storage import stored
+from gridloom.plans.storage import drop_stored, stored
 
 
 def random_walk_flow(nodes: DataFrame, edges: DataFrame, teleport: float = 0.15, tolerance: float = 1e-12, steps: int = 2000) -> tuple[DataFrame, DataFrame]:
@@ -27,15 +27,18 @@ def random_walk_flow(nodes: DataFrame, edges: DataFrame, teleport: float = 0.15,
     v = F.coalesce(F.col("into"), F.lit(0.0)) / total if total else F.lit(1.0 / max(n, 1))
     base = stored(base.select("id", F.coalesce("out", F.lit(0.0)).alias("out"), v.alias("v")), "walk-nodes")
     shares = stored(pairs.join(base.select(F.col("id").alias("source"), "out"), "source").select("source", "target", (F.col("w") / F.col("out")).alias("share")), "walk-shares")
-    p = base.select("id", F.lit(1.0 / max(n, 1)).alias("p"))
+    p, old = base.select("id", F.lit(1.0 / max(n, 1)).alias("p")), None
+    lost = base.filter("out = 0").count() / max(n, 1)  # the mass of nodes without a way out
     for step in range(steps if total else 0):
         mass = p.join(base, "id")
         moved = shares.join(p, shares.source == p.id).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("p") * F.col("share")).alias("moved"))
-        lost = mass.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("p"))), F.lit(0.0))).first()[0]
-        new = mass.join(moved, "id", "left").select("id", F.col("p").alias("was"), ((1 - teleport) * F.coalesce("moved", F.lit(0.0)) + (teleport + (1 - teleport) * lost) * F.col("v")).alias("p"))
+        new = mass.join(moved, "id", "left").select("id", "out", F.col("p").alias("was"), ((1 - teleport) * F.coalesce("moved", F.lit(0.0)) + (teleport + (1 - teleport) * lost) * F.col("v")).alias("p"))
         new = stored(new, "walk")
-        change = new.agg(F.sum(F.abs(F.col("p") - F.col("was")))).first()[0]
+        change, lost = new.agg(F.sum(F.abs(F.col("p") - F.col("was"))), F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("p"))), F.lit(0.0))).first()
         p = new.select("id", "p")
+        if old is not None:
+            drop_stored(old)
+        old = new
         if change < tolerance:
             break
     whole = p.agg(F.sum("p")).first()[0] or 1.0

@@ -88,14 +88,12 @@ def draw_polygons(spark, sf_dir):
     return spark.sql("SELECT p_partkey AS id, subpath, ord, round(x, 6) + 0.0 AS x FROM gridloom_parts, LATERAL regular_polygon(CAST(p_size AS DOUBLE), 0.0D, 2.0D, 4)")
 
 
-@query("SELECT p_partkey AS id, p_partkey % 3 = 0 AS picked FROM part")
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 140 ELSE p_size * 7 END AS DOUBLE) AS h, CAST(CASE WHEN p_partkey % 3 = 0 THEN greatest(30, p_size) ELSE p_size END AS DOUBLE) AS c, CAST(p_size + 20 AS DOUBLE) AS l FROM part")
 def hue_shift(spark, sf_dir):
-    """Picked rows keep their lightness under a new hue; the twin checks who changes."""
-    k = F.col("p_partkey")
-    h, c, l = C.rgb_to_hcl(*[(k * m % 200 + 20).cast("double") for m in (1, 7, 31)])  # noqa: E741
-    rows = X.table(spark, sf_dir, "part").select(k.alias("id"), h.alias("h"), c.alias("c"), l.alias("l"), (k % 3 == 0).alias("match"))
-    shifted = C.shifted(F.col("h"), F.col("c"), F.col("l"), F.col("match"), 140.0, 30.0)
-    return rows.select("id", (shifted[0] == 140.0).alias("picked"))
+    """Picked rows take a new hue and at least some chroma, and keep their lightness; others stay."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    shifted = C.shifted(size * 7, size, size + 20, k % 3 == 0, 140.0, 30.0)
+    return X.table(spark, sf_dir, "part").select(k.alias("id"), *[v.alias(n) for n, v in zip("hcl", shifted)])
 
 
 @query()

@@ -38,10 +38,11 @@ def project_orthographic(spark, sf_dir):
     return _geo(spark, sf_dir).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query(f"WITH {GEO} SELECT id, round(lon, 4) AS lon, round(lat, 4) AS lat FROM geo WHERE abs(lat) < 80")
+@query(f"WITH {GEO} SELECT id, round(lon, 4) AS lon, round(greatest(least(lat, 85), -85), 4) AS lat FROM geo")
 def invert_mercator(spark, sf_dir):
+    """There and back; latitudes past 85 degrees are drawn at 85."""
     m = Projection("mercator", 100, 400, 300)
-    g = _geo(spark, sf_dir).filter("abs(lat) < 80")
+    g = _geo(spark, sf_dir)
     x, y = m.forward(F.col("lon"), F.col("lat"))
     lon, lat = m.inverse(F.col("x"), F.col("y"))
     return g.select("id", x.alias("x"), y.alias("y")).select("id", (F.round(lon, 4) + 0.0).alias("lon"), (F.round(lat, 4) + 0.0).alias("lat"))
@@ -65,9 +66,9 @@ def point_in_ring(spark, sf_dir):
     return _rings(spark, sf_dir).filter(G.point_in_ring(F.lit(10.0), F.lit(4.5), F.col("ring"))).select("id")
 
 
-@query("SELECT p_partkey AS id, CAST(abs(p_size - 20) AS DOUBLE) AS d FROM part WHERE p_partkey % 17 + 1 > 5")
+@query("SELECT p_partkey AS id, round(sqrt((p_size - 20) ** 2 + greatest(3 - (p_partkey % 17 + 1), 0) ** 2), 6) AS d FROM part")
 def distance_to_path(spark, sf_dir):
-    p = X.table(spark, sf_dir, "part").filter("p_partkey % 17 + 1 > 5")
+    p = X.table(spark, sf_dir, "part")
     path = F.array(F.array(F.lit(20.0), F.lit(0.0)), F.array(F.lit(20.0), (F.col("p_partkey") % 17 + 1).cast("double")))
     return p.select(F.col("p_partkey").alias("id"), F.round(G.distance_to_path(F.col("p_size").cast("double"), F.lit(3.0), path), 6).alias("d"))
 

@@ -84,9 +84,9 @@ def coarse_edges(spark, sf_dir):
     return G.coarse_edges(X.g1(spark, sf_dir), _tens(spark))
 
 
-@query("WITH d AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 40), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS k FROM d) SELECT min(id) AS start, max(id) + 1 AS stop FROM g GROUP BY k")
+@query("WITH d AS (SELECT DISTINCT l_partkey * 3 + l_linenumber % 2 AS id FROM lineitem), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS k FROM d) SELECT min(id) AS start, max(id) + 1 AS stop FROM g GROUP BY k")
 def instance_runs(spark, sf_dir):
-    return G.instance_runs(X.table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("id")))
+    return G.instance_runs(X.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 3 + F.col("l_linenumber") % 2).alias("id")))
 
 
 @query(with_("s se", "SELECT a.physical AS source, b.physical AS target, CAST(sum(weight) AS BIGINT) AS weight, min(edge_id) AS first_edge FROM se JOIN s a ON a.state = source JOIN s b ON b.state = target GROUP BY 1, 2"))

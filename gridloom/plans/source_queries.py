@@ -60,7 +60,7 @@ def parse_pajek_nodes(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('a.net', 'pajek'), ('a.csv', 'edges'), ('b', 'pajek'), ('c', 'edges')) t(name, format)")
 def detect_format(spark, sf_dir):
-    texts = {"a.net": "", "a.csv": "*Vertices", "b": "\n *Vertices 3", "c": "1 2"}
+    texts = {"a.net": "", "a.csv": "*Vertices", "b": "\n" * 300 + " *Vertices 3", "c": "1 2"}
     return spark.createDataFrame([(k, T.detect_format(v, k)) for k, v in texts.items()], "name string, format string")
 
 
@@ -70,6 +70,20 @@ def graph_from_columns(spark, sf_dir):
     return S.graph_from_columns(o, "o_custkey", "d", order=["o_orderkey"])
 
 
+@query("SELECT CAST(p_partkey AS INTEGER) AS k, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, p_partkey % 3 > 0 AS closed, CAST(p_size + ring AS DOUBLE) AS lon, CAST(CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 4 END AS INTEGER) AS n FROM part, range(2) a(part), range(2) b(ring) WHERE (p_partkey % 3 = 0 AND part = 0 AND ring = 0) OR (p_partkey % 3 = 1 AND part = 0) OR p_partkey % 3 = 2")
+def geojson_paths(spark, sf_dir):
+    """A line, a polygon with a hole, or two such polygons for every part."""
+    size = F.col("p_size")
+    ring = lambda k: F.format_string("[[%d,0],[9,0],[9,9],[%d,0]]", size + k, size + k)
+    polygon = F.concat(F.lit("["), ring(0), F.lit(","), ring(1), F.lit("]"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "LineString").when(F.col("p_partkey") % 3 == 1, "Polygon").otherwise("MultiPolygon")
+    shape = F.when(F.col("p_partkey") % 3 == 0, F.format_string("[[%d,0],[1,1]]", size)).when(F.col("p_partkey") % 3 == 1, polygon).otherwise(F.concat(F.lit("["), polygon, F.lit(","), polygon, F.lit("]")))
+    text = F.concat(F.format_string('{"type":"Feature","properties":{"k":%d},"geometry":{"type":"', "p_partkey"), kind, F.lit('","coordinates":'), shape, F.lit("}}"))
+    features = S.geojson_features(X.table(spark, sf_dir, "part").select(text.alias("value")))
+    key = features.select("doc", "ord", F.get_json_object("properties", "$.k").cast("int").alias("k"))
+    return S.geojson_paths(features).join(key, ["doc", "ord"]).select("k", "part", "ring", "closed", F.col("points")[0][0].alias("lon"), F.size("points").alias("n"))
+
+
 @query("SELECT CAST(c_custkey AS INTEGER) AS ord, CAST((c_custkey * 137) % 360 - 180 AS DOUBLE) AS lon, CAST((c_custkey * 71) % 180 - 90 AS DOUBLE) AS lat FROM customer")
 def geojson_points(spark, sf_dir):
     c = X.table(spark, sf_dir, "customer")

@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset (tests) a local folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -22,7 +24,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again: short lineage, and rows that never change."""
     path = f"{shared_dir(df.sparkSession)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Remove a table made by :func:`stored` that nothing refers to any more."""
+    path = getattr(df, "_gridloom_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def dense_index(df: DataFrame, order: list[str | Column], name: str = "id", start: int = 0) -> DataFrame:

@@ -22,10 +22,11 @@ def append_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/layer").select("id", "event_type", "cents")
 
 
-@query("WITH b AS (SELECT event_id % 500 AS id, event_id, event_type FROM events WHERE event_id % 3 = 0), f AS (SELECT id, arg_min(event_type, event_id) AS event_type FROM b GROUP BY id) SELECT event_id AS id, event_type FROM events WHERE event_id < 100 UNION ALL SELECT id, event_type FROM f WHERE id NOT IN (SELECT event_id FROM events WHERE event_id < 100)")
+@query("WITH f AS (SELECT 2 * event_id - event_id % 3 AS id, event_id, event_type FROM events), m AS (SELECT id, arg_min(event_type, event_id) AS event_type FROM f GROUP BY id) SELECT event_id AS id, event_type FROM events UNION ALL SELECT id, event_type FROM m WHERE id NOT IN (SELECT event_id FROM events)")
 def append_dedupe(spark, sf_dir):
+    """All events held, and a batch whose ids partly repeat and partly are held already."""
     e = X.table(spark, sf_dir, "events")
-    held = e.filter("event_id < 100").select(F.col("event_id").alias("id"), "event_type")
-    batch = e.filter("event_id % 3 = 0").select((F.col("event_id") % 500).alias("id"), "event_id", "event_type")
+    held = e.select(F.col("event_id").alias("id"), "event_type")
+    batch = e.select((2 * F.col("event_id") - F.col("event_id") % 3).alias("id"), "event_id", "event_type")
     first = batch.groupBy("id").agg(F.min_by("event_type", "event_id").alias("event_type"))
     return A.dedupe_append(held, first)

@@ -19,9 +19,12 @@ VIEW = V.View(k=0.05, x=400, y=0, width=800, height=600)
 CLOSE = V.View(k=0.2, x=100, y=-200, width=800, height=600)
 
 
-@query("SELECT round((0 - 400) / 0.05, 6) AS x0, round((800 - 400) / 0.05, 6) AS x1, 0.0::DOUBLE AS y0, round(600 / 0.05, 6) AS y1")
+@query(with_("p", "SELECT id, x BETWEEN (0 - 400) / 0.05 AND (800 - 400) / 0.05 AND y BETWEEN 0 AND 600 / 0.05 AS shown, round(least(x + 8000, 8000 - x, y, 12000 - y), 6) AS inside FROM p"))
 def visible_rect(spark, sf_dir):
-    return spark.createDataFrame([tuple(round(v, 6) + 0.0 for v in VIEW.world())], "x0 double, x1 double, y0 double, y1 double")
+    """Of every point, whether the view's rectangle holds it and how far it is from its nearest side."""
+    x0, x1, y0, y1 = VIEW.world()
+    x, y = F.col("x"), F.col("y")
+    return X.points(spark, sf_dir).select("id", V.within(x, y, (x0, x1, y0, y1)).alias("shown"), F.round(F.least(x - x0, x1 - x, y - y0, y1 - y), 6).alias("inside"))
 
 
 @query(with_("p", "SELECT id FROM p WHERE x BETWEEN -500 AND 3500 AND y BETWEEN 1000 AND 4000"))
@@ -72,9 +75,12 @@ def module_boundaries(spark, sf_dir):
     return V.expanded_boundaries(R.positions(r, p), VIEW, 500.0).select(F.array_join("path", ":").alias("path"))
 
 
-@query("SELECT * FROM (VALUES (2, 48.0::DOUBLE), (8, 96.0::DOUBLE), (1000, 300.0::DOUBLE)) t(branching, px)")
+@query(with_("h", "SELECT array_to_string(path[1:2], ':') AS path, round(greatest(48, least(48 * sqrt(count(*) / 2.0), 300)), 6) AS px FROM h GROUP BY 1"))
 def default_expand_px(spark, sf_dir):
-    return spark.createDataFrame([(b, V.default_expand_px(b, 800, 600)) for b in (2, 8, 1000)], "branching int, px double")
+    """The threshold of each nation's module as its own tree: its branching is its number of customers."""
+    n = X.hierarchy(spark, sf_dir).groupBy(F.slice("path", 1, 2).alias("path")).agg(F.count("*").alias("n"))
+    px = spark.createDataFrame([(b, V.default_expand_px(b, 800, 600)) for (b,) in n.select("n").distinct().collect()], "n long, px double")  # a row a size of a nation
+    return n.join(px, "n").select(F.array_join("path", ":").alias("path"), F.round("px", 6).alias("px"))
 
 
 @query(with_("p", "SELECT id, importance FROM p ORDER BY importance DESC, id LIMIT 25"))
@@ -148,7 +154,20 @@ def lazy_super_edges(spark, sf_dir):
     return S.lazy_super_edges(X.g2(spark, sf_dir), cover)
 
 
-@query()
+#: Greedy thinning in SQL: one row a step, the kept boxes so far in a list.
+GREEDY = ", n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM s WHERE {on}), g AS (SELECT 0 AS k, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]) AS kept UNION ALL SELECT k + 1, CASE WHEN len(list_filter(kept, lambda o: {hit})) > 0 THEN kept ELSE list_append(kept, {{'id': n.id, 'x': n.x, 'y': n.y, 'w': n.w, 'h': n.h}}) END FROM g JOIN n ON n.rank = g.k + 1) SELECT unnest(kept).id AS id FROM (SELECT arg_max(kept, k) AS kept FROM g)"
+DISCS = "(o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y) < {s} * {s} * (o.w + n.w) * (o.w + n.w)"
+
+
+def _greedy(body, order, on, hit):
+    return with_("p", body + GREEDY.format(order=order, on=on, hit=hit)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ON_SCREEN = "x BETWEEN 0 AND 800 AND y BETWEEN 0 AND 600"
+ON_NEAR = ", s AS (SELECT id, x * 0.2 + 100 AS x, y * 0.2 - 200 AS y, radius AS w, 0.0 AS h, importance FROM p)"
+
+
+@query(_greedy(ON_NEAR, "importance DESC, id", ON_SCREEN, DISCS.format(s=2.0)) + f" UNION ALL SELECT id FROM s WHERE NOT ({ON_SCREEN})")
 def declutter(spark, sf_dir):
     return D.declutter(X.points(spark, sf_dir), CLOSE, spacing=2.0, order=-F.col("importance"))
 
@@ -160,18 +179,22 @@ def declutter_winners(spark, sf_dir):
     return D.winners(p, kept, CLOSE, spacing=6.0)
 
 
-@query()
+BOXES = ", s AS (SELECT id, x * 0.2 + 100 AS x, y * 0.2 - 200 AS y, CAST(20 + id % 30 AS DOUBLE) / 2 + 2 AS w, 8.0 AS h, importance FROM p WHERE x BETWEEN -500 AND 3500 AND y BETWEEN 1000 AND 4000)"
+
+
+@query(_greedy(BOXES, "importance DESC, id", "x + w > 0 AND x - w < 800 AND y + h > 0 AND y - h < 600", "abs(o.x - n.x) < o.w + n.w AND abs(o.y - n.y) < o.h + n.h"))
 def label_cull(spark, sf_dir):
     p = V.in_view(X.points(spark, sf_dir), CLOSE)
     labels = p.select("id", (F.col("x") * CLOSE.k + CLOSE.x).alias("x"), (F.col("y") * CLOSE.k + CLOSE.y).alias("y"), (20 + F.col("id") % 30).cast("double").alias("width"), F.lit(12.0).alias("height"), F.col("importance").alias("priority"))
     return D.cull_labels(labels, CLOSE.width, CLOSE.height, padding=2.0)
 
 
-@query("WITH c AS (SELECT l_orderkey AS a, l_quantity AS r, l_extendedprice / 100 AS d FROM lineitem WHERE l_orderkey % 10 = 3) SELECT count(*) AS n, round(max(CASE WHEN d >= 2 * greatest(r, 10) THEN 1 / d WHEN d < r + 10 THEN 0 ELSE 0.5 / (d - greatest(r, 10)) END), 9) AS zoom FROM c")
+@query("WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS DOUBLE) AS r, CAST(l_extendedprice AS DOUBLE) / 100 AS d FROM lineitem) SELECT id, round(CASE WHEN d >= 2 * greatest(r, 10) THEN 1 / d WHEN d < r + 10 THEN -1 ELSE 0.5 / (d - greatest(r, 10)) END, 9) AS world, round((greatest(r, 0.5) + 10) / d, 9) AS screen FROM c")
 def clear_zoom(spark, sf_dir):
-    rows = X.table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 3").select(F.col("l_quantity").alias("r"), (F.col("l_extendedprice") / 100).alias("d"))
+    """Of every row, the zoom at which a circle of its quantity clears one of radius 10; -1 for never."""
+    rows = X.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("double").alias("r"), (F.col("l_extendedprice").cast("double") / 100).alias("d"))
     z = V.clear_zoom(F.col("d"), F.col("r"), F.lit(10.0), False)
-    return rows.select(F.when(z == float("inf"), 0.0).otherwise(z).alias("z")).agg(F.count("*").alias("n"), F.round(F.max("z"), 9).alias("zoom"))
+    return rows.select("id", F.round(F.when(z == float("inf"), -1.0).otherwise(z), 9).alias("world"), F.round(V.clear_zoom(F.col("d"), F.col("r"), F.lit(10.0), True), 9).alias("screen"))
 
 
 @query(with_("h p", ", a AS (SELECT path[1:2] AS m, id, x, y, 2 * radius AS r FROM h JOIN p USING (id)) SELECT array_to_string(a.m, ':') AS module, round(max((a.r + b.r) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS clear_zoom FROM a JOIN a b ON a.m = b.m AND a.id < b.id GROUP BY a.m"))

@@ -18,9 +18,12 @@ LARGEST_ID = 4294967295
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a text file; one row per file is read whole, as line order is the format's semantics."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    """(pos, line) of text files, split among tasks: pos numbers the lines by file, then by place.
+
+    A split's place in its file orders the splits, and the reader's order the lines of one.
+    """
+    text = spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__no"))
+    return dense_index(stored(text, "lines"), ["__file", "__at", "__no"], "pos").select("pos", "line")
 
 
 def tokens(line: str | Column) -> Column:
@@ -77,11 +80,11 @@ def parse_pajek(lines: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     number = lambda c: F.when(c.rlike(r"^\+?[0-9]{1,10}$") & (c.try_cast("long") <= LARGEST_ID), c.try_cast("long"))
     quoted = F.regexp_extract("line", r'^[^"]*"([^"]*)"(.*)$', 1)
     has_quote = F.col("line").rlike(r'^[^"]*"[^"]*"')
-    after = F.when(has_quote, tokens(F.regexp_extract("line", r'^[^"]*"[^"]*"(.*)$', 1))).otherwise(F.slice("t", 3, 1000))
+    after = F.when(has_quote, tokens(F.regexp_extract("line", r'^[^"]*"[^"]*"(.*)$', 1))).otherwise(F.slice("t", F.lit(3), F.greatest(F.size("t") - 2, F.lit(0))))
     xy = lambda k: F.try_element_at(after, F.lit(k)).try_cast("double")
     vertices = body.filter("section = 'vertices'").select("pos", number(F.element_at("t", 1)).alias("ext_id"), F.when(has_quote, quoted).otherwise(F.try_element_at("t", F.lit(2))).alias("label"), xy(1).alias("x"), xy(2).alias("y"))
     pair = body.filter(F.col("section").isin("arcs", "edges") & (F.size("t") >= 2)).select("pos", F.lit(0).alias("k"), number(F.element_at("t", 1)).alias("s"), number(F.element_at("t", 2)).alias("d"), F.when(F.size("t") > 2, js_number(F.try_element_at("t", F.lit(3)))).otherwise(F.lit(1.0)).alias("weight"))
-    lists = body.filter(F.col("section").isin("arcslist", "edgeslist") & (F.size("t") >= 2)).select("pos", number(F.element_at("t", 1)).alias("s"), F.posexplode(F.slice("t", 2, 1 << 20)).alias("k", "d")).select("pos", "k", "s", number(F.col("d")).alias("d"), F.lit(1.0).alias("weight"))
+    lists = body.filter(F.col("section").isin("arcslist", "edgeslist") & (F.size("t") >= 2)).select("pos", number(F.element_at("t", 1)).alias("s"), F.posexplode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).alias("k", "d")).select("pos", "k", "s", number(F.col("d")).alias("d"), F.lit(1.0).alias("weight"))
     links = stored(pair.unionByName(lists), "pajek-links")
     wrong = links.filter("s is null or d is null").agg(F.min("pos")).first()[0]
     if wrong is not None:
@@ -109,8 +112,8 @@ def detect_format(text: str, filename: str = "") -> str:
 
 def parse_network(lines: DataFrame, filename: str = "") -> tuple[DataFrame, DataFrame, bool]:
     """Either format; an edge list is undirected."""
-    head = "\n".join(r[0] for r in lines.orderBy("pos").limit(200).select("line").collect())
-    if detect_format(head, filename) == "pajek":
+    found = lines.filter(F.col("line").rlike(r"(?i)^\s*\*(vertices|arcs|edges)")).orderBy("pos").limit(1).select("line").collect()
+    if detect_format(found[0][0] if found else "", filename) == "pajek":
         return parse_pajek(lines)
     edges, nodes = parse_edge_list(lines)
     return edges, nodes, False

@@ -42,6 +42,25 @@ def geojson_points(features: DataFrame) -> DataFrame:
     return features.select("doc", "ord", F.explode(pts).alias("p")).select("doc", "ord", F.element_at("p", 1).alias("lon"), F.element_at("p", 2).alias("lat"))
 
 
+def geojson_paths(features: DataFrame) -> DataFrame:
+    """(doc, ord, part, ring, closed, points) of lines and polygons: a row a line or ring, points as [lon, lat].
+
+    Parts number the members of a multi-geometry; a polygon's ring 0 is its outline, others are holes. Empty
+    coordinates give no row, points have none.
+    """
+    parse = lambda depth: F.from_json("coordinates", "array<" * depth + "double" + ">" * depth)
+    kind = F.col("geometry_type")
+    members = (
+        F.when(kind == "LineString", F.array(F.array(parse(2))))
+        .when(kind == "MultiLineString", F.transform(parse(3), lambda line: F.array(line)))
+        .when(kind == "Polygon", F.array(parse(3)))
+        .when(kind == "MultiPolygon", parse(4))
+    )
+    parts = features.select("doc", "ord", kind.endswith("Polygon").alias("closed"), F.posexplode(members).alias("part", "rings"))
+    rows = parts.select("doc", "ord", "part", "closed", F.posexplode("rings").alias("ring", "points"))
+    return rows.filter(F.size("points") > 0).select("doc", "ord", "part", "ring", "closed", "points")
+
+
 def register_network_source(spark: SparkSession) -> None:
     """``spark.read.format("network").load(path)``: (line, source, target, weight) of edge-list text, streamed from
     each file by its own task, labels as text."""

@@ -15,7 +15,11 @@ class DuplicateId(ValueError):
 def check_new(batch: DataFrame, held: DataFrame | None, key: str = "id") -> None:
     """Raise if an id repeats in the batch or is held already; nothing is written before."""
     twice = batch.groupBy(key).count().filter("count > 1").select(key)
-    known = batch.join(held.select(key), key, "left_semi").select(key) if held is not None else None
+    known = None
+    if held is not None:  # ids ascend as a rule: files whose range the batch doesn't touch aren't read
+        low, high = batch.agg(F.min(key), F.max(key)).first()
+        if low is not None:
+            known = batch.join(held.select(key).filter(F.col(key).between(low, high)), key, "left_semi").select(key)
     bad = (twice if known is None else twice.union(known)).limit(1).collect()
     if bad:
         raise DuplicateId(f"duplicate id {bad[0][0]}")
