@@ -43,6 +43,25 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
+    if _collected:
+        _collected[-1].append(out)
+    return out
+
+
+#: Scratch tables made since each :func:`only_result` that is running.
+_collected: list[list[DataFrame]] = []
+
+
+def only_result(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` plans, stored; every other scratch table made for it is removed."""
+    _collected.append([])
+    try:
+        out = scratch(make(), name)
+    finally:
+        made = _collected.pop()
+    for table in made:
+        if table is not out:
+            drop_scratch(table)
     return out
 
 

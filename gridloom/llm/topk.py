@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, drop_scratch, scratch
+from gridloom.llm.common import drop_scratch, scratch
 
 BINS = 512
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
@@ -31,30 +31,22 @@ MOST = 1 << 62
 
 
 def _clean(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    def kernel(batches):
-        for batch in batches:
-            ids, vecs, norms, most, dims = [], [], [], [], []
-            for i, v in zip(column(batch, "id").to_pylist(), column(batch, "v").to_pylist()):
-                if i is None or v is None or None in v:
-                    continue
-                x = np.floor(scale * np.array(v, np.float64))
-                if not np.isfinite(x).all():
-                    continue
-                ids.append(i)
-                vecs.append(x.tobytes())
-                norms.append(float(np.sqrt((x * x).sum())))
-                most.append(float(np.abs(x).max(initial=0)))
-                dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(norms, pa.float64()), pa.array(most, pa.float64()), pa.array(dims, pa.int32())], ["id", "v", "norm", "most", "dim"])
-
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(kernel, "id long, v binary, norm double, most double, dim int")
-
-
-def _matrix(cells: list[bytes], dim: int) -> np.ndarray:
+    scaled = F.transform(F.col(vec_col), lambda x: scale * x.cast("double"))
+    endless = F.lit(float("inf"))
+    fits = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < endless))
+    whole = F.transform("v", lambda x: F.rint(x) - F.when(F.rint(x) > x, 1.0).otherwise(0.0))  # floor, as a double
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled.alias("v")).filter(fits).select("id", whole.alias("v"))
+    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    most = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    return rows.select("id", "v", F.sqrt(size).alias("norm"), most.alias("most"), F.size("v").alias("dim"))
+
+
+def _matrix(cells: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors as rows, short ones padded with zeros."""
+    cells = cells.combine_chunks()
+    n = cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(cells), dim))
-    for i, b in enumerate(cells):
-        x = np.frombuffer(b)
-        out[i, : len(x)] = x
+    out[np.arange(dim) < n[:, None]] = cells.flatten().to_numpy()
     return out
 
 
@@ -68,7 +60,7 @@ def _scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
 
 def _tile(left: pa.Table, right: pa.Table, dim: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores (own pairs masked), which are real, and the candidates' ids."""
-    s = _scores(_matrix(left["v"].to_pylist(), dim), _matrix(right["v"].to_pylist(), dim), exact)
+    s = _scores(_matrix(left["v"], dim), _matrix(right["v"], dim), exact)
     cid = right["id"].to_numpy()
     return s, left["id"].to_numpy()[:, None] != cid[None, :], cid
 
