@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, langid, near_copies, packing, toxicity
-from gridloom.llm.common import documents, scratch
+from gridloom.llm.common import documents, drop_scratch, only_result
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = only_result(lambda: stage(spark, before, sf_dir), name)  # noqa: B023  called at once
+        drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
