@@ -2,7 +2,8 @@
 
 Words (runs of letters, lower case) are hashed into ``BUCKETS`` buckets; those that at least LEAST_DOCS training
 documents hold get an embedding, all others share one that is zero, so that an unseen word says nothing. Filters of several widths slide over
-the word sequence, each filter's largest response is kept (max pooling), and a linear layer gives the logit.
+the word sequence, each filter's largest response is kept (max pooling), and a linear layer gives the logit. All
+parameters start at random; each training step takes a share of the words for unknown (word dropout).
 Training stops at the epoch with the least log loss on validation rows. The product of embedding and filter is precomputed for every embedding and filter position, so that scoring a whole text
 is a few array gathers a word, on executors, without a shuffle.
 
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 from gridloom.llm.common import column, hash_sample, held_out, map_texts
 from gridloom.llm.langid import codes
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 8
-FIT_DOCS, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 6000, 8, 300, 32, 0.01, 0.01
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 16, (1, 2, 3), 16
+FIT_DOCS, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 6000, 40, 300, 32, 0.01, 0.03
+#: Share of words that a training step takes for unknown, so that no filter rests on a few words.
+DROPPED = 0.6
 LEAST_DOCS = 3
 LEAST_POSITIVE = 20
 #: Code points hashed at a time; longer texts are cut between words.
@@ -143,19 +146,17 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], se
     index = np.zeros(BUCKETS, np.int32)
     index[common] = np.arange(1, len(common) + 1)
     inner = [index[d] for d in docs]
-    params = [rng.normal(0, 0.1, (len(common) + 1, DIM)).astype(np.float32)]
-    params[0][:, 0] = evidence([np.unique(inner[i]) for i in fit], y[fit], len(common) + 1)
+    params = [rng.normal(0, 0.01, (len(common) + 1, DIM)).astype(np.float32)]
     params[0][0] = 0
     for w in WIDTHS:
         params += [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32)]
-    params[1][0, 0, : FILTERS // 2] = 1  # half of the one-word filters start on the evidence
-    params[2][: FILTERS // 2] = -np.linspace(0.5, 2, FILTERS // 2)
-    params += [np.concatenate((np.full(FILTERS // 2, 0.5), rng.normal(0, 0.1, len(WIDTHS) * FILTERS - FILTERS // 2))).astype(np.float32), np.full(1, np.log(y.mean() / (1 - y.mean())), np.float32)]
+    params += [np.abs(rng.normal(0, 0.3, len(WIDTHS) * FILTERS)).astype(np.float32), np.full(1, np.log(y.mean() / (1 - y.mean())), np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     steps, done, best = max(LEAST_STEPS, EPOCHS * -(-len(fit) // BATCH)), 0, (np.inf, None)
     while done < steps:
         for part in np.array_split(rng.permutation(fit), -(-len(fit) // BATCH)):
             flat, starts = pack([inner[i] for i in part])
+            flat = np.where(rng.random(len(flat)) < DROPPED, 0, flat)
             emb, grads = params[0], [np.zeros_like(p) for p in params[1:]]
             x = emb[flat]
             pooled, where = [], []
@@ -207,16 +208,6 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], se
     return model
 
 
-def evidence(sets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """A start for the embeddings' first dimension: the z-score of each word's log odds of toxicity."""
-    flat, lab = np.concatenate(sets), np.repeat(y, [len(s) for s in sets])
-    a, b = np.bincount(flat[lab == 1], minlength=size), np.bincount(flat[lab == 0], minlength=size)
-    na, nb = y.sum(), len(y) - y.sum()
-    sa, sb = na / len(y), nb / len(y)
-    odds = np.log((a + sa) / (na - a + sa)) - np.log((b + sb) / (nb - b + sb))
-    return (odds / np.sqrt(1 / (a + sa) + 1 / (b + sb))).clip(-5, 5) / 2
-
-
 def fold(index: np.ndarray, params: list[np.ndarray]) -> Model:
     model = Model(index=index, out=params[-2].copy(), bias=float(params[-1][0]))
     for j, w in enumerate(WIDTHS):
