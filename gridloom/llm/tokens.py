@@ -64,7 +64,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: Strings that the library makes a token of wherever they stand in a text.
-        self.added = tuple(sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}))
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        start = os.path.commonprefix(sorted(added))  # one scan finds them all where they begin alike
+        self.added = (start,) if len(start) > 1 else tuple(sorted(added))
         self.spaced, self.room = spaced, cache_words
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
         self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
@@ -107,7 +109,7 @@ class Encoder:
         odd = []
         for no, text in enumerate(texts):
             low = text.lower() if self.lower and not _holds(text, _odd_case) else text
-            if _holds(text, self.added) or _holds(low, self.added) or (not _plain(text) if self.spaced else _holds(text, _odd_split)):
+            if _holds(low, self.added) or (not _plain(text) if self.spaced else _holds(text, _odd_split)):
                 odd.append(no)
                 parts.append([])
                 continue
