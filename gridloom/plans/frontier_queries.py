@@ -15,6 +15,7 @@ from gridloom.plans import fixtures as X
 from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import with_
 from gridloom.plans.hierarchy_queries import LINKS, _links
+from gridloom.plans.view_queries import DECLUTTERED
 
 
 def _frontier(records):
@@ -38,8 +39,9 @@ def frontier_links(spark, sf_dir):
     return R.frontier_links(h, X.g2(spark, sf_dir), _frontier(h)).select(F.array_join("source", ":").alias("source"), F.array_join("target", ":").alias("target"), "flow")
 
 
-@query()
+@query(DECLUTTERED)
 def frontier_declutter(spark, sf_dir):
+    """A frontier of leaves alone has no node above another, so that it thins as points do."""
     h = X.hierarchy(spark, sf_dir)
     n = h.join(X.points(spark, sf_dir), "id").select("id", "path", "x", "y", "radius", F.col("importance").alias("weight"), F.lit(True).alias("is_leaf"))
     return R.frontier_declutter(n, V.View(k=0.2, x=100, y=-200, width=800, height=600), spacing=2.0)
@@ -55,10 +57,18 @@ def module_masses(spark, sf_dir):
     return M.module_masses(X.hierarchy(spark, sf_dir)).select(F.array_join("path", ":").alias("path"), "mass")
 
 
-@query()
+FORCES = LINKS + """, r AS (SELECT src, dst, sum(flow) AS flow FROM m WHERE src <> dst GROUP BY ALL), sp AS (SELECT src, dst, flow * (SELECT count(*) / sum(flow) FROM r) AS w FROM r),
+c AS (SELECT prefix, avg(x) AS cx, avg(y) AS cy, count(*) AS mass FROM pre JOIN p USING (id) GROUP BY prefix),
+f AS (SELECT src, dst, 0.05 * w * (b.cx - a.cx) AS fx, 0.05 * w * (b.cy - a.cy) AS fy FROM sp JOIN c a ON a.prefix = src JOIN c b ON b.prefix = dst),
+pull AS (SELECT path, sum(fx) AS fx, sum(fy) AS fy FROM (SELECT src AS path, fx, fy FROM f UNION ALL SELECT dst, -fx, -fy FROM f) GROUP BY path),
+acc AS (SELECT pre.id, sum(fx / mass) AS ax, sum(fy / mass) AS ay FROM pre JOIN pull ON pull.path = pre.prefix JOIN c ON c.prefix = pre.prefix GROUP BY pre.id)
+SELECT h.id, round(coalesce(ax, 0), 4) + 0.0 AS ax, round(coalesce(ay, 0), 4) + 0.0 AS ay FROM h LEFT JOIN acc USING (id)"""
+
+
+@query(with_("h pre p g2", FORCES))
 def module_forces(spark, sf_dir):
     out = M.module_forces(X.hierarchy(spark, sf_dir), X.points(spark, sf_dir), M.module_springs(_links(spark, sf_dir)))
-    return out.select("id", F.round("ax", 6).alias("ax"), F.round("ay", 6).alias("ay"))
+    return out.select("id", (F.round("ax", 4) + 0.0).alias("ax"), (F.round("ay", 4) + 0.0).alias("ay"))
 
 
 @query(with_("h pre p", "SELECT array_to_string(prefix, ':') AS path, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy, round(sqrt(avg(x * x + y * y) - avg(x) ** 2 - avg(y) ** 2), 3) AS spread FROM pre JOIN p USING (id) GROUP BY prefix"))

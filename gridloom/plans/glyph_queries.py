@@ -20,6 +20,7 @@ from gridloom.plans.catalog import query
 from gridloom.plans.fixtures import with_
 from gridloom.plans.geo_queries import GEO, _geo
 from gridloom.plans.graph_queries import G1_LINKS
+from gridloom.plans.view_queries import DISCS, ON_SCREEN, _greedy
 from gridloom.sources import svg
 
 NEAR = V.View(k=0.2, x=100, y=-200, width=800, height=600)
@@ -378,8 +379,15 @@ def declutter_anchored_off(spark, sf_dir):
     return Y.declutter_anchored(X.points(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("x").alias("ax"), F.col("y").alias("ay")), NEAR, 0.0)
 
 
-@query()
+SPOTS = ", a AS (SELECT id, floor(x / 500) * 500 AS ax, floor(y / 500) * 500 AS ay FROM p), s AS (SELECT min(id) AS id, ax * 0.2 + 100 AS x, ay * 0.2 - 200 AS y, 75.0 AS w, 0.0 AS h, ax, ay FROM a GROUP BY ax, ay)"
+
+
+@query(
+    _greedy(SPOTS, "id", ON_SCREEN, DISCS.format(s=1.0)).replace(" SELECT unnest(kept).id AS id", ", k AS (SELECT unnest(kept).id AS id", 1)
+    + f" UNION ALL SELECT id FROM s WHERE NOT ({ON_SCREEN})) SELECT a.id FROM a JOIN s USING (ax, ay) WHERE s.id IN (SELECT id FROM k)"
+)
 def declutter_anchored(spark, sf_dir):
+    """Glyphs on a coarse lattice of anchors, at least 150 pixels apart."""
     g = X.points(spark, sf_dir).select("id", F.col("id").alias("ord"), (F.floor(F.col("x") / 500) * 500.0).alias("ax"), (F.floor(F.col("y") / 500) * 500.0).alias("ay"))
     return Y.declutter_anchored(g, NEAR, 150.0)
 

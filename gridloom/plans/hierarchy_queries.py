@@ -40,20 +40,35 @@ def tree_parents(spark, sf_dir):
     return H.tree_nodes(r, H.module_tree(r)).select("node", "parent")
 
 
-@query(
-    with_(
+HUES = with_(
         "h",
         """, r AS (SELECT DISTINCT path[1] AS r FROM h), n AS (SELECT DISTINCT path[1] AS r, path[2] AS n FROM h),
 a AS (SELECT r, (row_number() OVER (ORDER BY r) - 1) * 360.0 / count(*) OVER () AS s, 360.0 / count(*) OVER () AS w FROM r),
 b AS (SELECT n.r, n.n, a.s + (row_number() OVER (PARTITION BY n.r ORDER BY n.n) - 1) * a.w / count(*) OVER (PARTITION BY n.r) AS s, a.w / count(*) OVER (PARTITION BY n.r) AS w FROM n JOIN a USING (r))
 SELECT CAST(r AS VARCHAR) AS path, round((s + w / 2 + 20) % 360, 6) AS hue FROM a UNION ALL SELECT r || ':' || n, round((s + w / 2 + 20) % 360, 6) FROM b""",
     )
-)
+
+
+@query(HUES)
 def module_hues(spark, sf_dir):
     return H.module_hues(X.hierarchy(spark, sf_dir)).select(F.array_join("path", ":").alias("path"), F.round("hue", 6).alias("hue"))
 
 
-@query()
+def _rgb_sql(hues: str) -> str:
+    """SQL that turns (path, hue) of ``hues`` into colours at chroma 48 and lightness 65."""
+    from gridloom.functions import color as C
+
+    inverse = lambda t: f"CASE WHEN {t} > {C.LAB_1} THEN ({t}) ** 3 ELSE {3 * C.LAB_1 * C.LAB_1} * ({t} - {C.LAB_0}) END"
+    fy = (65 + 16) / 116
+    xyz = ", ".join(f"{w} * ({inverse(t)}) AS {n}" for w, t, n in zip(C.WHITE, (f"({fy} + a / 500)", f"{fy}", f"({fy} - b / 200)"), "uvw"))
+    channel = lambda row: " + ".join(f"({m}) * {n}" for m, n in zip(row, "uvw"))
+    rgb = ", ".join(f"{channel(row)} AS {n}" for row, n in zip(C.TO_RGB, ("l1", "l2", "l3")))
+    byte = lambda c: f"least(greatest(floor(255 * CASE WHEN {c} <= 0.0031308 THEN 12.92 * {c} ELSE 1.055 * pow(greatest({c}, 1e-12), 1 / 2.4::DOUBLE) - 0.055 END + 0.5), 0), 255)"
+    text = " || ".join(f"lpad(lower(hex(CAST({byte(n)} AS BIGINT))), 2, '0')" for n in ("l1", "l2", "l3"))
+    return f"SELECT path, '#' || {text} AS color FROM (SELECT path, {rgb} FROM (SELECT path, {xyz} FROM (SELECT path, cos(radians(hue)) * 48 AS a, sin(radians(hue)) * 48 AS b FROM ({hues}))))"
+
+
+@query(_rgb_sql(HUES))
 def module_colors(spark, sf_dir):
     from gridloom.functions.color import hcl_hex
 

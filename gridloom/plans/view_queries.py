@@ -167,12 +167,18 @@ ON_SCREEN = "x BETWEEN 0 AND 800 AND y BETWEEN 0 AND 600"
 ON_NEAR = ", s AS (SELECT id, x * 0.2 + 100 AS x, y * 0.2 - 200 AS y, radius AS w, 0.0 AS h, importance FROM p)"
 
 
-@query(_greedy(ON_NEAR, "importance DESC, id", ON_SCREEN, DISCS.format(s=2.0)) + f" UNION ALL SELECT id FROM s WHERE NOT ({ON_SCREEN})")
+DECLUTTERED = _greedy(ON_NEAR, "importance DESC, id", ON_SCREEN, DISCS.format(s=2.0)) + f" UNION ALL SELECT id FROM s WHERE NOT ({ON_SCREEN})"
+
+
+@query(DECLUTTERED)
 def declutter(spark, sf_dir):
     return D.declutter(X.points(spark, sf_dir), CLOSE, spacing=2.0, order=-F.col("importance"))
 
 
-@query()
+@query(
+    _greedy(ON_NEAR, "importance DESC, id", ON_SCREEN, DISCS.format(s=6.0)).replace(" SELECT unnest(kept).id AS id", ", k AS (SELECT unnest(kept).id AS id", 1)
+    + f" UNION ALL SELECT id FROM s WHERE NOT ({ON_SCREEN})), d AS (SELECT n.id, o.id AS winner, sqrt((o.x - n.x) ** 2 + (o.y - n.y) ** 2) AS d FROM s n JOIN s o ON {DISCS.format(s=6.0)} WHERE n.id NOT IN (SELECT id FROM k) AND o.id IN (SELECT id FROM k)) SELECT id, winner FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, winner) = 1"
+)
 def declutter_winners(spark, sf_dir):
     p = X.points(spark, sf_dir)
     kept = D.declutter(p, CLOSE, spacing=6.0, order=-F.col("importance"))
