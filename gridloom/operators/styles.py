@@ -32,5 +32,5 @@ def metric(rows: DataFrame, by: str | Column) -> Column:
 
 
 def share_border(r: Column, e: Column, f: Column) -> Column:
-    """Width of a border whose ring has e / f of the disc's area; null without a positive f."""
-    return F.when(f > 0, r - r * F.sqrt(1 - F.least(F.greatest(e / f, F.lit(0.0)), F.lit(1.0))))
+    """Width of a border whose ring has e / f of the disc's area; null without a positive f, or without e (null or NaN)."""
+    return F.when((f > 0) & ~F.isnan(f) & e.isNotNull() & ~F.isnan(e), r - r * F.sqrt(1 - F.least(F.greatest(e / f, F.lit(0.0)), F.lit(1.0))))

@@ -82,7 +82,7 @@ def test_rotated_labels_that_only_cross_in_their_bounds_are_both_kept(spark):
     assert sorted(r["id"] for r in D.cull_labels(labels, 100, 100).collect()) == [1, 2]
     plain = labels.drop("rotation")
     assert sorted(r["id"] for r in D.cull_labels(plain.filter("id < 3"), 100, 100).collect()) == [1, 2]
-    assert [r["id"] for r in D.cull_labels(labels.withColumn("y", F.lit(30.0)).filter("id < 3"), 100, 100).collect()] == [1]
+    assert [r["id"] for r in D.cull_labels(labels.withColumns({"x": 26.0 + 4 * F.col("id"), "y": F.lit(30.0)}).filter("id < 3"), 100, 100).collect()] == [1]
 
 
 def test_upside_down_labels_turn_and_swap_sides(spark):
