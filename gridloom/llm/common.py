@@ -36,9 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a reader of it."""
+def scratch(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
+
+    ``narrow``: rows much smaller than what they were read from are gathered before they are written, so that each
+    split of the corpus doesn't leave a tiny file.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if narrow else df
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -135,7 +135,7 @@ def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("text_hash"))
     small = map_texts(docs.filter(F.length("text") <= huge_chars), _digests, DIGEST)
     huge = _huge_digests(docs.filter(F.length("text") > huge_chars), huge_chars)
-    digests = scratch(small.unionByName(huge).withColumn("uid", F.monotonically_increasing_id()), "digests")
+    digests = scratch(small.unionByName(huge).withColumn("uid", F.monotonically_increasing_id()), "digests", narrow=True)
     key = ["h1", "h2", "n_bytes"]
     bad = scratch(_collisions(docs, digests, huge_chars), "collisions")
     rows = digests.join(bad.withColumn("bad", F.lit(True)), key, "left").withColumn("variant", F.when(F.col("bad"), F.col("sha")).otherwise(F.lit("")))

@@ -135,7 +135,7 @@ def linked(left: pa.ChunkedArray, a: np.ndarray, right: pa.ChunkedArray, b: np.n
 
 def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, text_hash, set_id and root, the same for all of a component."""
-    prints = scratch(sketches(docs, words), "sketches")
+    prints = scratch(sketches(docs, words), "sketches", narrow=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = scratch(prints.filter("n > 0").groupBy("set_id", "n", *WORDS).agg(first), "sets")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")

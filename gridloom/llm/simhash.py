@@ -271,7 +271,7 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, text_hash, fp (long), root (the component's own number) and component_id (its
     smallest doc_id)."""
-    prints = scratch(fingerprints(docs, shingle), "fingerprints")
+    prints = scratch(fingerprints(docs, shingle), "fingerprints", narrow=True)
     nodes = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(nodes, radius))
     classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
