@@ -16,8 +16,8 @@ import numpy as np
 CACHE_WORDS = 400_000
 #: Words remembered to have come once; the second half of the cache is for words that come again.
 ONCE_WORDS = 200_000
-#: Marks that are told from the word before them when the two together are new.
-MARKS = ".,"
+#: Marks that are told from the letter or digit before them when the two together are new.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer words aren't kept.
 CACHE_LENGTH = 64
 
@@ -69,7 +69,6 @@ class Encoder:
         self.added = (start,) if len(start) > 1 else tuple(sorted(added))
         self.spaced, self.room = spaced, cache_words
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
-        self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
         self.cache: dict[str, bytes] = {}
         self.once: set[str] = set()  # words get into the cache when they come again
         pieces = self.tokenizer.get_vocab()
@@ -79,6 +78,16 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def after_breaks(self, words: list[str]) -> list[bytes]:
+        """The ids of words that have no blank before them: as lines of one text, told apart by the ids of its breaks."""
+        raw = self.whole(["".join(["\n" + w[1:] for w in words])])[0]
+        mark = self.whole(["\n"])[0]
+        at = np.flatnonzero(np.frombuffer(raw, np.uint32) == np.frombuffer(mark, np.uint32)[0]) * 4 if len(mark) == 4 else ()
+        if len(at) != len(words):  # not a vocabulary of the kind expected
+            return self.whole([w[1:] if w[0] == "\t" else w for w in words])
+        bounds = [*at.tolist(), len(raw)]
+        return [raw[a + 4 if w[0] == "\t" else a : b] for w, a, b in zip(words, bounds, bounds[1:])]
+
     def units(self, words: list[str]) -> list[bytes]:
         """The ids of each word; most go to the library as one text, whose ids are told apart by their edges."""
         if self.spaced:
@@ -87,7 +96,7 @@ class Encoder:
             plain = [_letters.fullmatch(w) is not None for w in words]
         some = [w for w, p in zip(words, plain) if p]
         rest = [w for w, p in zip(words, plain) if not p]
-        found = iter(self.whole([w[1:] if w[0] == "\t" else w for w in rest]))
+        found = iter(self.after_breaks(rest) if self.spaced and rest else self.whole(rest))
         if not some:
             return list(found)
         ids = np.frombuffer(self.whole([" " + " ".join(some)])[0], np.uint32)
@@ -127,28 +136,31 @@ class Encoder:
                     at.append(i)
                 missing.append((ids, at, [words[i] for i in at]))
         asked = dict.fromkeys(chain.from_iterable(w for _, _, w in missing))
-        stems = {w: w[:-1] if w[-1] in MARKS and len(w) > 1 and w[-2].isalnum() else w for w in asked}
-        need = [w for w in dict.fromkeys(stems.values()) if w not in held]
-        fresh = dict(zip(need, self.units(need)))
-        new = {}
-        for w, stem in stems.items():  # a mark after a letter or digit is a pre-token by itself
-            ids = fresh[stem] if stem in fresh else held[stem]
-            new[w] = ids if w is stem else ids + self.marks[w[-1]]
+        marked = {}
+        for w in asked:
+            if w[-1:] in MARKS:  # marks after a letter or digit are a pre-token by themselves
+                stem = w.rstrip(MARKS)
+                if stem[-1:] < "\u0530" and stem[-1:].isalnum():  # letters that all versions of Unicode know
+                    marked[w] = stem, ("\t" if self.spaced else "") + w[len(stem) :]
+        need = dict.fromkeys(chain((w for w in asked if w not in marked), chain.from_iterable(marked.values())))
+        need = [w for w in need if w not in held]
+        new = dict(zip(need, self.units(need)))
+        for w, (stem, tail) in marked.items():
+            new[w] = (new[stem] if stem in new else held[stem]) + (new[tail] if tail in new else held[tail])
         for ids, at, words in missing:
             for i, w in zip(at, words):
                 ids[i] = new[w]
         for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
             parts[no] = [ids]
-        for found in (fresh, new):
-            found = {w: x for w, x in found.items() if len(w) <= CACHE_LENGTH}
-            free = self.room - len(held)
-            if free > self.room // 2:
-                held.update(found)
-            else:
-                once = self.once
-                if free > 0:
-                    held.update({w: found[w] for w in found.keys() & once})
-                if len(once) > ONCE_WORDS:
-                    once.clear()
-                once.update(found)
+        found = {w: x for w, x in new.items() if len(w) <= CACHE_LENGTH}
+        free = self.room - len(held)
+        if free > self.room // 2:
+            held.update(found)
+        else:
+            once = self.once
+            if free > 0:
+                held.update({w: found[w] for w in found.keys() & once})
+            if len(once) > ONCE_WORDS:
+                once.clear()
+            once.update(found)
         return [np.frombuffer(b"".join(p), np.uint32) for p in parts]

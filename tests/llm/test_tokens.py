@@ -19,7 +19,7 @@ from gridloom.llm.tokens import Encoder
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [
     "an <|endoftext|> inside, <|startoftext|>and<|endoftext|>",
-    "<|ENDOFTEXT|> x","", " ", "a", "Hello, world. It's 5.0 o'clock...", "  two  gaps ", "x\n\ny\tz", "a\n b", "a \nb", "日本語 テキスト", "ΑΣ Σ İI ıi", "é é ß", "<|endoftext|> <|startoftext|>", "'s 's a's", "word" * 300, "a\u0085b c d", "foo ,bar. .baz ²³.", "ends with.\nStarts, here.", "x_. y_, 5. 6,"]
+    "<|ENDOFTEXT|> x","", " ", "a", "Hello, world. It's 5.0 o'clock...", "  two  gaps ", "x\n\ny\tz", "a\n b", "a \nb", "日本語 テキスト", "ΑΣ Σ İI ıi", "é é ß", "<|endoftext|> <|startoftext|>", "'s 's a's", "word" * 300, "a\u0085b c d", "foo ,bar. .baz ²³.", "ends with.\nStarts, here.", "x_. y_, 5. 6,", "wait... a*** b*** ***\n***c d&&&\n&&& b***", "(\"so\") it's' 5%. я, я日! я日!\nb!"]
 
 
 def documents(spark, n=60, seed=1):
@@ -39,7 +39,7 @@ def test_cached_encoding_equals_the_library(path, spaced):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="abAB .,'!_\n\tß5²é", max_size=40), min_size=1, max_size=5))
+@given(st.lists(st.text(alphabet="abAB .,'!_*#-\n\tß5²éя日", max_size=40), min_size=1, max_size=5))
 def test_cached_encoding_of_odd_texts(texts):
     for path, spaced in ((WORD, False), (BYTE, True)):
         e = _encoders.setdefault(path, Encoder(path, spaced))
