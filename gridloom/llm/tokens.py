@@ -12,10 +12,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Words kept by a worker, some 200 bytes each. Others are encoded anew each time.
+#: Words kept by a worker, the first that come, some 200 bytes each. Others are encoded anew each time.
 CACHE_WORDS = 400_000
-#: Words remembered to have come once; the second half of the cache is for words that come again.
-ONCE_WORDS = 200_000
 #: Marks that are told from the letter or digit before them when the two together are new.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer words aren't kept.
@@ -70,7 +68,6 @@ class Encoder:
         self.spaced, self.room = spaced, cache_words
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
         self.cache: dict[str, bytes] = {}
-        self.once: set[str] = set()  # words get into the cache when they come again
         pieces = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(pieces.values()) + 1, bool)  # ids that begin a unit, or end a pre-token
         self.edge[[i for w, i in pieces.items() if (w.startswith("\u0120") if spaced else w.endswith("</w>"))]] = True
@@ -152,15 +149,6 @@ class Encoder:
                 ids[i] = new[w]
         for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
             parts[no] = [ids]
-        found = {w: x for w, x in new.items() if len(w) <= CACHE_LENGTH}
-        free = self.room - len(held)
-        if free > self.room // 2:
-            held.update(found)
-        else:
-            once = self.once
-            if free > 0:
-                held.update({w: found[w] for w in found.keys() & once})
-            if len(once) > ONCE_WORDS:
-                once.clear()
-            once.update(found)
+        if len(held) < self.room:
+            held.update({w: x for w, x in new.items() if len(w) <= CACHE_LENGTH})
         return [np.frombuffer(b"".join(p), np.uint32) for p in parts]
