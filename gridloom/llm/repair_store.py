@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import column, scratch, slices, small_batches
-from gridloom.llm.tokens import encoder
+from gridloom.llm.tokens import encoder, spread
 
 MAGIC = b"GLR2"
 #: Ids after which a shard ends (with its document).
@@ -144,12 +144,6 @@ def lengths_of(rules: np.ndarray, terminals: int) -> np.ndarray:
     return n
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-
-
 def expansions(kinds: np.ndarray, ids: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All symbols' expansions behind one another, and where each symbol's starts: rules by their depth."""
     starts, done = np.zeros(len(kinds), np.int64), ~kinds
@@ -162,7 +156,7 @@ def expansions(kinds: np.ndarray, ids: np.ndarray, rules: np.ndarray, lengths: n
         assert len(now), "a shard is damaged"
         parts, n = rules[now].ravel(), lengths[numbers[now]]
         starts[numbers[now]] = len(flat) + np.cumsum(n) - n
-        flat = np.concatenate((flat, _gather(flat, starts[parts], lengths[parts])))
+        flat = np.concatenate((flat, spread(flat, starts[parts], lengths[parts])))
         done[numbers[now]] = True
     return flat, starts
 
@@ -235,7 +229,7 @@ class Shard:
             at += out.nbytes
             return out
 
-        def spread(count: int) -> np.ndarray:
+        def values(count: int) -> np.ndarray:
             nonlocal at
             out, at = from_planes(data, count, at)
             return out
@@ -245,10 +239,10 @@ class Shard:
         self.counts = take("<i8", n_docs)
         total = n_alphabet + n_rules
         self.kinds = np.unpackbits(take("<u1", -(-total // 8)), count=total).astype(bool)
-        alphabet = spread(n_alphabet).astype(np.uint32)
-        self.rules = np.stack([spread(n_rules), spread(n_rules)], 1)
+        alphabet = values(n_alphabet).astype(np.uint32)
+        self.rules = np.stack([values(n_rules), values(n_rules)], 1)
         self.lengths = np.ones(total, np.int64)
-        self.lengths[self.kinds] = spread(n_rules)
+        self.lengths[self.kinds] = values(n_rules)
         n_blocks = -(-self.n // BLOCK)
         self.index, sizes = take("<i8", n_blocks), take("<u4", n_blocks).astype(np.int64)
         self.data, self.at = data, at + np.cumsum(sizes) - sizes
@@ -261,7 +255,7 @@ class Shard:
         """The ids of some blocks of symbols."""
         parts = [self.symbols(b) for b in range(first, last)]
         s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return _gather(self.flat, self.starts[s], self.lengths[s])
+        return spread(self.flat, self.starts[s], self.lengths[s])
 
     def decode(self) -> np.ndarray:
         out = self.expand(0, len(self.index))

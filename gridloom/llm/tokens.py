@@ -11,6 +11,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept by a worker, the first that come, some 200 bytes each. Others are encoded anew each time.
 CACHE_WORDS = 400_000
@@ -18,6 +20,8 @@ CACHE_WORDS = 400_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer words aren't kept.
 CACHE_LENGTH = 64
+#: Words whose ids are laid out together, and ids of a word above which words are joined one by one.
+WORDS_AT_ONCE, LONG_WORD = 1 << 17, 1 << 10
 
 _letters = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Letters whose lower case depends on who lowers it.
@@ -43,6 +47,13 @@ def _plain(text: str) -> bool:
     return not (_holds(text, _ascii_space) if text.isascii() else _other_space.search(text))
 
 
+def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` behind one another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
 _held: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -67,7 +78,7 @@ class Encoder:
         self.added = (start,) if len(start) > 1 else tuple(sorted(added))
         self.spaced, self.room = spaced, cache_words
         self.lower = self.whole(["Aa Bb"]) == self.whole(["aa bb"])  # the vocabulary has no upper case
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         pieces = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(pieces.values()) + 1, bool)  # ids that begin a unit, or end a pre-token
         self.edge[[i for w, i in pieces.items() if (w.startswith("\u0120") if spaced else w.endswith("</w>"))]] = True
@@ -107,32 +118,14 @@ class Encoder:
             joined = (raw[a:b] for a, b in zip(bounds, bounds[1:]))
         return [next(joined) if p else next(found) for p in plain]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each whole text's ids, as unsigned 32-bit integers."""
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from the cache or from the library."""
         held = self.cache
-        parts: list[list[bytes | None]] = []
-        missing: list[tuple[list[bytes | None], list[int], list[str]]] = []
-        odd = []
-        for no, text in enumerate(texts):
-            low = text.lower() if self.lower and not _holds(text, _odd_case) else text
-            if _holds(low, self.added) or (not _plain(text) if self.spaced else _holds(text, _odd_split)):
-                odd.append(no)
-                parts.append([])
-                continue
-            if self.spaced:  # a word stands for itself with a blank before it; the first has none
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\t" + words[0]
-            else:
-                words = low.split()
-            ids = list(map(held.get, words))
-            parts.append(ids)
-            if None in ids:
-                at, find, i = [], ids.index, -1
-                for _ in range(ids.count(None)):
-                    i = find(None, i + 1)
-                    at.append(i)
-                missing.append((ids, at, [words[i] for i in at]))
-        asked = dict.fromkeys(chain.from_iterable(w for _, _, w in missing))
+        ids = list(map(held.get, words))
+        if None not in ids:
+            return ids
+        at = [i for i, x in enumerate(ids) if x is None]
+        asked = [words[i] for i in at]
         marked = {}
         for w in asked:
             if w[-1:] in MARKS:  # marks after a letter or digit are a pre-token by themselves
@@ -144,11 +137,43 @@ class Encoder:
         new = dict(zip(need, self.units(need)))
         for w, (stem, tail) in marked.items():
             new[w] = (new[stem] if stem in new else held[stem]) + (new[tail] if tail in new else held[tail])
-        for ids, at, words in missing:
-            for i, w in zip(at, words):
-                ids[i] = new[w]
-        for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
-            parts[no] = [ids]
+        for i, w in zip(at, asked):
+            ids[i] = new[w]
         if len(held) < self.room:
             held.update({w: x for w, x in new.items() if len(w) <= CACHE_LENGTH})
-        return [np.frombuffer(b"".join(p), np.uint32) for p in parts]
+        return ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each whole text's ids, as unsigned 32-bit integers. Texts are split, and their words numbered, by Arrow."""
+        plain, lines, odd = [], [], []
+        for no, text in enumerate(texts):
+            low = text.lower() if self.lower and not _holds(text, _odd_case) else text
+            if _holds(low, self.added) or (not _plain(text) if self.spaced else _holds(text, _odd_split)):
+                odd.append(no)
+                continue
+            plain.append(no)
+            if self.spaced:  # a word stands for itself with a blank before it; the first has none
+                lines.append("\t" + text.replace("\n", " \n"))
+            else:
+                lines.append(low if low.isascii() or not _other_space.search(low) else " ".join(low.split()))
+        out: dict[int, np.ndarray] = {}
+        if lines:
+            rows = pa.array(lines, pa.large_string())
+            rows = pc.split_pattern(rows, " ") if self.spaced else pc.ascii_split_whitespace(rows)
+            numbered = rows.flatten().dictionary_encode()
+            every = numbered.dictionary
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+            ids = self.known(words)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            code, flat = numbered.indices.to_numpy(), np.frombuffer(b"".join(ids), np.uint32)
+            starts = np.cumsum(lengths) - lengths
+            if lengths.max() > LONG_WORD:
+                found = np.frombuffer(b"".join([ids[c] for c in code.tolist()]), np.uint32)
+            else:
+                blocks = (code[k : k + WORDS_AT_ONCE] for k in range(0, len(code), WORDS_AT_ONCE))
+                found = np.concatenate([spread(flat, starts[c], lengths[c]) for c in blocks])
+            ends = np.append(0, np.cumsum(lengths[code]))[rows.offsets.to_numpy()].tolist()
+            out = {no: found[a:b] for no, a, b in zip(plain, ends, ends[1:])}
+        for no, ids in zip(odd, self.whole([texts[no] for no in odd])):
+            out[no] = np.frombuffer(ids, np.uint32)
+        return [out[no] for no in range(len(texts))]
