@@ -85,13 +85,13 @@ def clear_scratch(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch so that no slice has over SLICE_ROWS rows or (but for one row) SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch so that no slice has over ``rows`` rows or (but for one row) SLICE_BYTES of text."""
     col = batch.column(batch.schema.get_field_index(text))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (held + n > SLICE_BYTES or i - start >= rows):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)
@@ -106,12 +106,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", rows: int = SLICE_ROWS) -> DataFrame:
     """``mapInArrow`` with ``kernel`` applied to memory-bounded slices of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, rows):
                 yield kernel(part)
             pa.default_memory_pool().release_unused()
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, map_texts, scratch
+from gridloom.llm.common import BATCH_ROWS, column, map_texts, scratch
 from gridloom.llm.tokens import encoder
 
 CAPACITY, SALTS = 1024, 256
@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CA
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, PIECES, rows=BATCH_ROWS)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, scratch, slices, small_batches
+from gridloom.llm.common import BATCH_ROWS, column, scratch, slices, small_batches
 from gridloom.llm.tokens import encoder, spread
 
 MAGIC = b"GLR2"
@@ -283,7 +283,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([n], pa.int64()), pa.array([encode_shard(names, held)], pa.binary())], ["part", "block", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", BATCH_ROWS):
                 found = e.encode([t or "" for t in column(piece, "text").to_pylist()])
                 for doc, ids in zip(column(piece, "doc_id").to_pylist(), found):
                     ids = np.append(ids, np.uint32(end_id))
