@@ -36,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Shuffle partitions that one task takes up, where rows are few beside those that the partitions are made for.
+PARTITIONS_A_FILE = 16
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, which comes out of a shuffle, in two tasks a core or one for PARTITIONS_A_FILE shuffle partitions,
+    whichever are more: no rows are moved, and the number of files follows that of partitions, without tiny ones.
+
+    Each file that a task writes starts three processes on a local path without Hadoop's native library.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_FILE))
+
+
 def scratch(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
@@ -43,7 +57,7 @@ def scratch(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     split of the corpus doesn't leave a tiny file.
     """
     spark = df.sparkSession
-    df = df.hint("rebalance") if narrow else df
+    df = gathered(df.hint("rebalance")) if narrow else df
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -170,16 +184,16 @@ def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     named = found.groupBy(number.alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n"), F.max("kept").alias("__stays"))
-    doubtful = scratch(named.filter("n > 1 or not __stays").drop("n"), "doubtful")
+    doubtful = scratch(gathered(named.filter("n > 1 or not __stays").drop("n")), "doubtful")
     rows = maybe_in(row_keys(docs), F.col("__hash"), doubtful.select(F.col("__hash").alias("k")))
     asked = rows.filter("__maybe").join(doubtful, ["__id", "__hash"], "left").filter("coalesce(__stays, true)")
-    return rows.filter("not __maybe").select(*docs.columns).union(asked.dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    return rows.filter("not __maybe").select(*docs.columns).union(gathered(asked.dropDuplicates(["__id", "__hash"]).select(*docs.columns)))
 
 
 def pick_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, text_hash, text) once for each row that ``wanted`` (doc_id, text_hash) names."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    wanted = scratch(wanted.select(number.alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "wanted")
+    wanted = scratch(gathered(wanted.select(number.alias("__id"), F.col("text_hash").alias("__hash")).distinct()), "wanted")
     rows = maybe_in(row_keys(docs.select("doc_id", "text")), F.col("__hash"), wanted.select(F.col("__hash").alias("k")))
     named = rows.filter("__maybe").join(wanted, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
     return named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__hash").alias("text_hash"), "text")

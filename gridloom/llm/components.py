@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_scratch, scratch
+from gridloom.llm.common import drop_scratch, gathered, scratch
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -34,10 +34,10 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that an edge (a, b) touches; root is its component's smallest node."""
-    edges = scratch(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = scratch(gathered(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()), "edges")
     state = _state(edges)
     while state[0]:
-        stars = scratch(_small(_large(edges)), "edges")
+        stars = scratch(gathered(_small(_large(edges))), "edges")
         drop_scratch(edges)
         edges, before = stars, state
         state = _state(edges)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, keep_rows, map_texts, maybe_in, scratch, slices, text_hash
+from gridloom.llm.common import column, gathered, keep_rows, map_texts, maybe_in, scratch, slices, text_hash
 
 SPACES = b" \t\n\x0b\x0c\r"
 PRIMES = (2147483647, 2147483629)
@@ -117,8 +117,8 @@ def _collisions(docs: DataFrame, digests: DataFrame, chunk_chars: int) -> DataFr
     Only texts whose fingerprint comes twice are read again, and cut into chunks where they are.
     """
     key = ["h1", "h2", "n_bytes"]
-    doubles = scratch(digests.groupBy(*key).count().filter("count > 1").select(*key), "double-prints")
-    asked = scratch(digests.select("text_hash", *key).distinct().join(doubles, key), "asked")
+    doubles = scratch(gathered(digests.groupBy(*key).count().filter("count > 1").select(*key)), "double-prints")
+    asked = scratch(gathered(digests.select("text_hash", *key).distinct().join(doubles, key)), "asked")
     rows = maybe_in(docs.select("text", "text_hash"), F.col("text_hash"), asked.select(F.col("text_hash").alias("k")))
     body = F.translate("text", SPACES.decode(), "")
     parts = F.when(F.length(body) <= chunk_chars, F.array(body)).otherwise(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
@@ -137,11 +137,11 @@ def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
     huge = _huge_digests(docs.filter(F.length("text") > huge_chars), huge_chars)
     digests = scratch(small.unionByName(huge).withColumn("uid", F.monotonically_increasing_id()), "digests", narrow=True)
     key = ["h1", "h2", "n_bytes"]
-    bad = scratch(_collisions(docs, digests, huge_chars), "collisions")
+    bad = scratch(gathered(_collisions(docs, digests, huge_chars)), "collisions")
     rows = digests.join(bad.withColumn("bad", F.lit(True)), key, "left").withColumn("variant", F.when(F.col("bad"), F.col("sha")).otherwise(F.lit("")))
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
     groups = rows.groupBy(*key, "variant").agg(F.min(order).alias("stays"), F.count("*").alias("group_size"))
-    doubles = scratch(groups.filter("group_size > 1"), "doubles")  # stored, so that a hot group's join can be split
+    doubles = scratch(gathered(groups.filter("group_size > 1")), "doubles")  # stored, so that a hot group's join can be split
     alone = F.col("group_size").isNull()
     return rows.join(doubles, [*key, "variant"], "left").select(
         "doc_id",

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, drop_scratch, keep_rows, map_texts, pick_texts, scratch, text_hash
+from gridloom.llm.common import column, drop_scratch, gathered, keep_rows, map_texts, pick_texts, scratch, text_hash
 from gridloom.llm.components import components
 from gridloom.llm.simhash import close, first_of_each, search, tiles
 
@@ -137,7 +137,7 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFr
     """One row per document: doc_id, text_hash, set_id and root, the same for all of a component."""
     prints = scratch(sketches(docs, words), "sketches", narrow=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = scratch(prints.filter("n > 0").groupBy("set_id", "n", *WORDS).agg(first), "sets")
+    nodes = scratch(gathered(prints.filter("n > 0").groupBy("set_id", "n", *WORDS).agg(first)), "sets")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
     weight = F.greatest(F.col("n"), F.lit(LEAST).cast("long"))
     dealt = tiles(nodes.select(F.col("set_id").alias("id"), *WORDS, band.alias("band"), weight.alias("weight")), WORDS, radius, BLOCK, LEAF, DEPTH)
@@ -157,7 +157,7 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFr
         i, j = linked(left["shingles"], a, right["shingles"], b, same, radius)
         return pa.table({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
 
-    asked = scratch(search(dealt, WORDS, candidates, dealt.schema), "candidates")
+    asked = scratch(search(dealt, WORDS, candidates, dealt.schema), "candidates", narrow=True)
     drop_scratch(dealt)
     sets = shingle_sets(nodes, asked.select("id").distinct(), docs, words)
     edges = search(asked.join(sets, "id"), WORDS, compared, "a long, b long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BATCH_ROWS, column, map_texts, scratch
+from gridloom.llm.common import BATCH_ROWS, column, gathered, map_texts, scratch
 from gridloom.llm.tokens import encoder
 
 CAPACITY, SALTS = 1024, 256
@@ -192,7 +192,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CA
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``."""
     names = parts.columns
-    table = scratch(parts.withColumn("salt", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7919, F.lit(SALTS)).cast("int")), "pieces")
+    table = scratch(parts.withColumn("salt", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id() * 7919, F.lit(SALTS)).cast("int")), "pieces", narrow=True)
     sizes = table.groupBy("length", "salt").count().toArrow()  # capacity x SALTS rows at most
     length, salt, count = (np.array(sizes[c].to_pylist(), np.int64) for c in ("length", "salt", "count"))
     order = np.lexsort((salt, length))
@@ -213,7 +213,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*names, "sequence_id", "offset"])
 
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema)
+    return gathered(ranked).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:

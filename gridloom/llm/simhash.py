@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, hash_sample, keep_rows, map_texts, scratch, text_hash
+from gridloom.llm.common import column, gathered, hash_sample, keep_rows, map_texts, scratch, text_hash
 from gridloom.llm.components import components
 
 #: Fingerprints that the tree is fitted to.
@@ -230,7 +230,7 @@ def tiles(nodes: DataFrame, names: list[str], radius: int, block: int = BLOCK, l
     fields = ", ".join(f"{c} long" for c in ["id", *names, "weight"])
     sent = scratch(nodes.select("id", *names, "weight", *["band"] * banded).mapInArrow(dealt, f"{fields}, leaf long, guest boolean"), "routed")
     blocks = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, F.col("weight")).otherwise(0)) / block).cast("long")
-    sizes = scratch(sent.groupBy("leaf").agg(blocks(False).alias("homes"), blocks(True).alias("guests")).filter("homes > 0"), "leaf-sizes")  # a row a leaf
+    sizes = scratch(gathered(sent.groupBy("leaf").agg(blocks(False).alias("homes"), blocks(True).alias("guests")).filter("homes > 0")), "leaf-sizes")  # a row a leaf
     sent = sent.join(sizes, "leaf").withColumn("b", F.when(F.col("guest"), F.col("homes") + F.pmod(F.xxhash64("id"), F.col("guests"))).otherwise(F.pmod(F.xxhash64("id"), F.col("homes"))))
     last = F.col("homes") + F.col("guests") - 1
     one = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     """One row per document: doc_id, text_hash, fp (long), root (the component's own number) and component_id (its
     smallest doc_id)."""
     prints = scratch(fingerprints(docs, shingle), "fingerprints", narrow=True)
-    nodes = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    nodes = scratch(gathered(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))), "distinct")
     roots = components(links(nodes, radius))
     classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
