@@ -56,6 +56,16 @@ def test_matching_follows_the_order(spark):
     assert {r["id"]: r["grp"] for r in I.heavy_edge_matching(spark.range(30), e).collect()} == group
 
 
+def test_matching_takes_one_row_a_pair_and_any_ordered_edge_id(spark):
+    rows, e = graph(spark, 30, 400, 5)
+    numbers = {r["id"]: r["grp"] for r in I.heavy_edge_matching(spark.range(31), e).collect()}  # node 30 has no link
+    structs = e.withColumn("edge_id", F.struct(F.lit("a").alias("x"), F.col("edge_id").alias("y")))
+    assert {r["id"]: r["grp"] for r in I.heavy_edge_matching(spark.range(31), structs).collect()} == numbers
+    assert I.link_pairs(e).count() == len({(s, t) for _, s, t, _ in rows})  # what the kernel reads doesn't grow with parallel links
+    a, b = I.coarse_levels(spark.range(31), e), I.coarse_levels(spark.range(31), structs)
+    assert len(a) == len(b) and all(sorted(map(tuple, x[0].collect())) == sorted(map(tuple, y[0].collect())) for x, y in zip(a, b))
+
+
 def test_levels_keep_all_mass(spark):
     _, e = graph(spark)
     nodes = spark.range(30)
