@@ -1,13 +1,18 @@
-"""Greedy thinning as rounds of local winners.
+"""Greedy thinning.
 
-Greedy thinning by priority keeps the lexicographically first independent set of the conflict graph. Rounds give the
-same set: of the undecided rows every one that beats all its undecided conflicts is kept, and what conflicts with it
-is dropped. Conflicts come from a join of grid cells, whose size is the largest reach, so a row meets the rows of
-nine cells only. Each round is two aggregations over the conflicts that are left.
+Greedy thinning by priority keeps the lexicographically first independent set of the conflict graph. ``thinned`` takes
+rows in blocks of ranks, each twice as long as the one before: tiles of the screen drop in parallel what earlier blocks'
+kept rows hide, and one pass in order decides the rest. Rows are only compared with kept ones, which lie apart, so that
+no table of conflicts is made: in a crowd it grows with the square of the rows. ``independent_set`` is the form for given
+conflicts, as rounds of local winners.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,76 @@ def independent_set(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     return ranks.select("id") if lost is None else ranks.select("id").join(lost, "id", "left_anti")
 
 
+#: Rows of the first block, and rows that a tile is meant to have. A tile's sides are at least twice the largest reach.
+BLOCK_ROWS = 8192
+
+
+class _Kept:
+    """Kept rows by cells as large as the largest reach."""
+
+    def __init__(self, size: float, hit: Callable[[tuple, tuple], bool]):
+        self.size, self.hit, self.cells = size, hit, {}
+
+    def _cell(self, row: tuple) -> tuple[int, int]:
+        return math.floor(row[0] / self.size), math.floor(row[1] / self.size)
+
+    def add(self, row: tuple) -> None:
+        self.cells.setdefault(self._cell(row), []).append(row)
+
+    def hides(self, row: tuple) -> bool:
+        cx, cy = self._cell(row)
+        return any(self.hit(row, o) for a in (0, -1, 1) for b in (0, -1, 1) for o in self.cells.get((cx + a, cy + b), ()))
+
+
+def thinned(rows: DataFrame, size: float, hit: Callable[[tuple, tuple], bool], columns: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """(id): rows (id, rank, x, y and others) kept greedily by rank, which counts from 0. ``hit`` tells of two tuples of
+    ``columns``, x and y first, whether they conflict, which no rows ``size`` or more apart in x or y do."""
+    size = size * (1 + 1e-9)
+    n, x0, x1, y0, y1 = rows.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    rows = rows.select("id", "rank", *columns)
+    if not n:
+        return rows.select("id")
+    names, schema = rows.columns, rows.schema
+    side = max(2 * size, math.sqrt(max(x1 - x0, size) * max(y1 - y0, size) * block / n))
+    tiles = math.ceil((x1 - x0 + size) / side) * math.ceil((y1 - y0 + size) / side)
+
+    def tuples(pdf: pd.DataFrame):
+        return zip(*(pdf[c].tolist() for c in columns))
+
+    def uncovered(key: tuple[int, int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        kept = _Kept(size, hit)
+        for row in tuples(right):
+            kept.add(row)
+        return left.loc[[not kept.hides(row) for row in tuples(left)], names]
+
+    def walk(batches):
+        kept = _Kept(size, hit)
+        for pdf in batches:
+            stay = []
+            for row in tuples(pdf):
+                stay.append(not kept.hides(row))
+                if stay[-1]:
+                    kept.add(row)
+            yield pdf.loc[stay]
+
+    def tile(c: str, c0: float, by: float = 0.0) -> Column:
+        return F.floor((F.col(c) - c0 + by) / side)
+
+    around = lambda c, c0: F.explode(F.sequence(tile(c, c0, -size), tile(c, c0, size)))
+    done, start = None, 0
+    while start < n:
+        part = rows.filter(F.col("rank").between(start, start + block - 1))
+        if done is not None:
+            near = done.select("*", around("x", x0).alias("tx")).select("*", around("y", y0).alias("ty"))
+            own = part.select("*", tile("x", x0).alias("tx"), tile("y", y0).alias("ty"))
+            deal = lambda d: d.repartition(min(tiles, 1024), "tx", "ty").groupBy("tx", "ty")
+            part = deal(own).cogroup(deal(near)).applyInPandas(uncovered, schema)
+        chosen = stored(part.repartition(1).sortWithinPartitions("rank").mapInPandas(walk, schema), "thinned")
+        done = chosen if done is None else done.unionByName(chosen)
+        start, block = start + block, 2 * block
+    return done.select("id")
+
+
 def _grid(rows: DataFrame, size: float) -> DataFrame:
     return rows.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
 
@@ -50,6 +125,16 @@ def near_pairs(rows: DataFrame, size: float, conflict: Column, columns: list[str
     return g.join(other, ["gx", "gy"]).filter((F.col("id") != F.col("o_id")) & conflict).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
 
+def discs_meet(spacing: float) -> Callable[[tuple, tuple], bool]:
+    """Whether two discs (x, y, r, ...) lie within spacing * (ri + rj) of each other."""
+
+    def meet(a: tuple, b: tuple) -> bool:
+        dx, dy, limit = a[0] - b[0], a[1] - b[1], spacing * (a[2] + b[2])
+        return dx * dx + dy * dy < limit * limit
+
+    return meet
+
+
 def declutter(points: DataFrame, view: View, spacing: float = 1.0, order: Column | None = None) -> DataFrame:
     """(id): points kept on a view's screen: by ``order`` (ascending, then id), one is dropped if it lies within
     spacing * (ri + rj) of a kept one, in pixels. Rows off the screen stay and hide nothing; negative radii are 0."""
@@ -62,10 +147,7 @@ def declutter(points: DataFrame, view: View, spacing: float = 1.0, order: Column
     reach = shown.agg(F.max("r")).first()[0]
     if not reach:
         return s.select("id")
-    dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
-    limit = spacing * (F.col("r") + F.col("o_r"))
-    pairs = near_pairs(shown, 2 * spacing * reach, dx * dx + dy * dy < limit * limit, ["x", "y", "r"])
-    return independent_set(shown, pairs).union(off)
+    return thinned(shown, 2 * spacing * reach, discs_meet(spacing), ["x", "y", "r"]).union(off)
 
 
 def cull_labels(labels: DataFrame, width: float, height: float, padding: float = 0.0) -> DataFrame:
@@ -99,10 +181,13 @@ def cull_labels(labels: DataFrame, width: float, height: float, padding: float =
 def winners(points: DataFrame, kept: DataFrame, view: View, spacing: float = 1.0) -> DataFrame:
     """(id, winner): for each dropped point the kept one nearest to it among those that hide it."""
     s = points.select("id", (F.col("x") * view.k + view.x).alias("x"), (F.col("y") * view.k + view.y).alias("y"), F.greatest("radius", F.lit(0.0)).alias("r")).join(kept.withColumn("kept", F.lit(True)), "id", "left")
+    s = stored(s, "thinned-points")
     reach = s.agg(F.max("r")).first()[0] or 1.0
+    g = _grid(s, 2 * spacing * reach)
+    around = F.expr("explode(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(gx + i as gx, gy + j as gy)))))")
+    lost = g.filter("kept is null").select("id", "x", "y", "r", around.alias("g")).select("id", "x", "y", "r", "g.gx", "g.gy")
+    other = g.filter("kept").select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"), F.col("r").alias("o_r"), "gx", "gy")
     dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
-    limit = spacing * (F.col("r") + F.col("o_r"))
-    hidden = near_pairs(s, 2 * spacing * reach, (dx * dx + dy * dy < limit * limit) & F.col("kept").isNull() & F.col("o_kept"), ["x", "y", "r", "kept"])
-    at = lambda c, p: s.select(F.col("id").alias(c), F.col("x").alias(p + "x"), F.col("y").alias(p + "y"))
-    d = hidden.join(at("a", "a"), "a").join(at("b", "b"), "b").withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    return d.groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("d", "b")).alias("winner"))
+    limit, square = spacing * (F.col("r") + F.col("o_r")), dx * dx + dy * dy
+    d = lost.join(other, ["gx", "gy"]).filter(square < limit * limit).select("id", F.sqrt(square).alias("d"), F.col("o_id").alias("b"))
+    return d.groupBy("id").agg(F.min_by("b", F.struct("d", "b")).alias("winner"))

@@ -42,6 +42,30 @@ def test_label_culling_equals_the_greedy_pass_and_touching_is_allowed(spark):
     assert {x["id"] for x in D.cull_labels(df, 100.0, 60.0).collect()} == {k[0] for k in kept}
 
 
+def test_thinning_compares_with_kept_rows_only(spark, monkeypatch):
+    """Crowds are thinned over several blocks, and no table of conflicts is made of them."""
+    def refuse(*a, **k):
+        raise AssertionError("a table of conflicts grows with the square of a crowd")
+
+    monkeypatch.setattr(D, "near_pairs", refuse)
+    monkeypatch.setattr(D.thinned, "__defaults__", (40,))
+    view = V.View(1.0, 0.0, 0.0, 100.0, 100.0)
+    for order in ("importance", "x"):  # at random, and from one side to the other
+        rows, df = points(spark, 700, 6)
+        key = {"importance": 4, "x": 1}[order]
+        on = []
+        for row in sorted(rows, key=lambda t: (t[key], t[0])):
+            if all((row[1] - k[1]) ** 2 + (row[2] - k[2]) ** 2 >= (1.5 * (row[3] + k[3])) ** 2 for k in on):
+                on.append(row)
+        kept = D.declutter(df, view, 1.5, F.col(order))
+        assert {r["id"] for r in kept.collect()} == {k[0] for k in on}
+        nearest = {}
+        for row in set(rows) - set(on):
+            d = [(((row[1] - k[1]) ** 2 + (row[2] - k[2]) ** 2) ** 0.5, k[0]) for k in on if (row[1] - k[1]) ** 2 + (row[2] - k[2]) ** 2 < (1.5 * (row[3] + k[3])) ** 2]
+            nearest[row[0]] = min(d)[1]
+        assert {r["id"]: r["winner"] for r in D.winners(df, kept, view, 1.5).collect()} == nearest
+
+
 def test_nan_is_never_in_view(spark):
     df = spark.createDataFrame([(0, float("nan"), 1.0), (1, 1.0, 1.0)], "id long, x double, y double")
     assert [r["id"] for r in V.in_view(df, V.View(1, 0, 0, 10, 10)).collect()] == [1]
