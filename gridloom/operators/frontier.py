@@ -68,12 +68,13 @@ def frontier_declutter(nodes: DataFrame, view: View, spacing: float = 2.0, large
     reach = shown.agg(F.max("r")).first()[0]
     if not reach:
         return s.select("id")
-    dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
-    limit = spacing * (F.col("r") + F.col("o_r"))
-    n = F.least(F.size("path"), F.size("o_path"))
-    kin = F.slice("path", 1, n) == F.slice("o_path", 1, n)
-    pairs = D.near_pairs(shown, 2 * spacing * reach, (dx * dx + dy * dy < limit * limit) & ~kin, ["x", "y", "r", "path"])
-    return D.independent_set(shown, pairs).union(s.filter(~F.coalesce(on, F.lit(False))).select("id"))
+    meet = D.discs_meet(spacing)
+
+    def hit(a: tuple, b: tuple) -> bool:
+        n = min(len(a[3]), len(b[3]))
+        return meet(a, b) and list(a[3][:n]) != list(b[3][:n])
+
+    return D.thinned(shown, 2 * spacing * reach, hit, ["x", "y", "r", "path"]).union(s.filter(~F.coalesce(on, F.lit(False))).select("id"))
 
 
 def pick_both(states: DataFrame, physicals: DataFrame, px: float, py: float, view: View) -> DataFrame:
