@@ -170,12 +170,11 @@ def cull_labels(labels: DataFrame, width: float, height: float, padding: float =
     reach = shown.agg(F.max(F.greatest("hw", "hh"))).first()[0]
     if not reach:
         return shown.select("id")
+    if not turned:
+        return thinned(shown, 2 * reach, lambda p, q: abs(p[0] - q[0]) < p[2] + q[2] and abs(p[1] - q[1]) < p[3] + q[3], ["x", "y", "hw", "hh"])
     hit = (F.abs(F.col("x") - F.col("o_x")) < F.col("hw") + F.col("o_hw")) & (F.abs(F.col("y") - F.col("o_y")) < F.col("hh") + F.col("o_hh"))
-    columns = ["x", "y", "hw", "hh"]
-    if turned:
-        columns += ["bw", "bh", "a"]
-        hit = hit & overlap(*map(F.col, ("x", "y", "bw", "bh", "a", "o_x", "o_y", "o_bw", "o_bh", "o_a")))
-    return independent_set(shown, near_pairs(shown, 2 * reach, hit, columns))
+    hit = hit & overlap(*map(F.col, ("x", "y", "bw", "bh", "a", "o_x", "o_y", "o_bw", "o_bh", "o_a")))
+    return independent_set(shown, near_pairs(shown, 2 * reach, hit, ["x", "y", "hw", "hh", "bw", "bh", "a"]))
 
 
 def winners(points: DataFrame, kept: DataFrame, view: View, spacing: float = 1.0) -> DataFrame:

@@ -66,6 +66,30 @@ def test_thinning_compares_with_kept_rows_only(spark, monkeypatch):
         assert {r["id"]: r["winner"] for r in D.winners(df, kept, view, 1.5).collect()} == nearest
 
 
+def test_labels_and_frontiers_thin_without_a_table_of_conflicts(spark, monkeypatch):
+    from gridloom.operators import frontier as R
+
+    def refuse(*a, **k):
+        raise AssertionError("a table of conflicts grows with the square of a crowd")
+
+    monkeypatch.setattr(D, "near_pairs", refuse)
+    monkeypatch.setattr(D.thinned, "__defaults__", (40,))
+    rows, df = points(spark, 300, 7)
+    kept = []
+    for row in sorted(rows, key=lambda t: (-t[4], t[0])):
+        if all(abs(row[1] - k[1]) >= 8 or abs(row[2] - k[2]) >= 4 for k in kept):
+            kept.append(row)
+    labels = df.select("id", "x", "y", F.lit(8.0).alias("width"), F.lit(4.0).alias("height"), F.col("importance").alias("priority"))
+    assert {r["id"] for r in D.cull_labels(labels, 100.0, 100.0).collect()} == {k[0] for k in kept}
+    kept, kin = [], lambda a, b: a == b == 0  # rows 0, 7, 14, ... lie on one path
+    path = F.when(F.col("id") % 7 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(2), F.col("id").cast("int")))
+    for row in sorted(rows, key=lambda t: (-t[4], t[0])):
+        if all(kin(row[0] % 7, k[0] % 7) or (row[1] - k[1]) ** 2 + (row[2] - k[2]) ** 2 >= (2.0 * (row[3] + k[3])) ** 2 for k in kept):
+            kept.append(row)
+    nodes = df.select("id", path.alias("path"), "x", "y", "radius", F.col("importance").alias("weight"), F.lit(True).alias("is_leaf"))
+    assert {r["id"] for r in R.frontier_declutter(nodes, V.View(1.0, 0.0, 0.0, 100.0, 100.0), 2.0).collect()} == {k[0] for k in kept}
+
+
 def test_nan_is_never_in_view(spark):
     df = spark.createDataFrame([(0, float("nan"), 1.0), (1, 1.0, 1.0)], "id long, x double, y double")
     assert [r["id"] for r in V.in_view(df, V.View(1, 0, 0, 10, 10)).collect()] == [1]
