@@ -101,6 +101,26 @@ def test_nested_discs_lie_inside_their_parents(spark):
     assert d[1]["r"] > d[0]["r"]
 
 
+def test_module_sums_equal_all_pairs_and_hold_no_square(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(L, "PAIRS", 64, raising=False)
+    g = np.random.default_rng(4)
+    x, r = g.uniform(-1, 1, (90, 2)), g.uniform(0.01, 0.2, 90)
+    diff = x[:, None] - x[None]
+    far = (diff / ((diff**2).sum(-1) + 1e-9)[..., None]).sum(1)
+    assert np.allclose(L._repulsion(x), far, rtol=1e-12)
+    dist = np.sqrt((diff**2).sum(-1)) + np.eye(90)
+    over = np.maximum(0, 1.15 * (r[:, None] + r[None]) - dist) * (1 - np.eye(90))
+    share = (r**2)[None] / ((r**2)[:, None] + (r**2)[None])
+    assert np.allclose(L._collisions(x, r), (diff / dist[..., None] * (over * share)[..., None] * 0.5).sum(1), rtol=1e-12)
+    monkeypatch.undo()
+    tracemalloc.start()
+    L.solve_module(np.ones(2500), [(i, i + 1, 1.0) for i in range(2499)], ticks=2)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # 2500 squared in doubles: 50 MB for each axis of a difference
+    tracemalloc.stop()
+
+
 def test_frames_settle(spark):
     _, e = graph(spark, 12, 20)
     s = L.seed_positions(spark.range(12), 100, 100, 50.0).select("id", "x", "y", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
